@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-_LOCAL_DIR: list[str] = []
+from hearthledger.sources.session import table
 
+__all__ = ["WORD", "durable", "shared_dir", "table", "text_or_empty", "utf8"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+WORD = r"[^\x20\x09-\x0D]+"
+_LOCAL_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:

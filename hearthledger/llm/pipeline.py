@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import neardup, quality
 from .common import durable, table
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("near-dedup", neardup.stage),
 ]
 #: No SQL: tokenising, expectation-maximisation and best-fit packing have no DuckDB form; tests hold a brute-force twin.
 ORACLE_SQL = None

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import neardup
+from .neardup import op6_minhash_neardup
 from .quality import op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_minhash_neardup": op6_minhash_neardup,
+}
+ORACLE: dict[str, str] = {
+    "op6_minhash_neardup": neardup.ORACLE_SQL,
 }
-ORACLE: dict[str, str] = {}
