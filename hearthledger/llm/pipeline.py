@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality
+from . import mixing, neardup, packing, pii, quality
 from .common import durable, table
 
 STAGES = [
     ("quality rules", quality.stage),
     ("near-dedup", neardup.stage),
+    ("pii", pii.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 #: No SQL: tokenising, expectation-maximisation and best-fit packing have no DuckDB form; tests hold a brute-force twin.
 ORACLE_SQL = None

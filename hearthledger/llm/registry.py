@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import neardup
+from .mixing import op2_source_mixing
 from .neardup import op6_minhash_neardup
+from .packing import op1_bestfit_packing
+from .pii import op3_pii
 from .quality import op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bestfit_packing": op1_bestfit_packing,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op6_minhash_neardup": op6_minhash_neardup,
 }
