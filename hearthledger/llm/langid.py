@@ -35,7 +35,7 @@ MAX_TRAIN = 3_000
 STEPS = 350
 BATCH = 192
 #: Windows that advance together when predicting.
-LANES = 2048
+LANES = 512
 FOLDS = 5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -89,13 +89,47 @@ class Network:
             out[t] = state = new
         return out, kept
 
+    def swift(self, windows: np.ndarray) -> np.ndarray:
+        """The states of ``states``, with all intermediate values written in place."""
+        lanes, length = windows.shape
+        h, b = self.h, self.p["b"]
+        half = np.float32(0.5)
+        # the gates' arguments are halved once, in the weights: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
+        x, u = self.p["x"].copy(), self.p["u"].copy()
+        x[..., : 2 * h] *= half
+        u[..., : 2 * h] *= half
+        x = x.reshape(512, 3 * h)
+        both = np.stack([windows.T, windows.T[::-1]], axis=1).astype(np.intp)
+        both[:, 1] += 256
+        out = np.empty((length, 2, lanes, h), np.float32)
+        got, rec = np.empty((2, lanes, 3 * h), np.float32), np.empty((2, lanes, 3 * h), np.float32)
+        gates, n = np.empty((2, lanes, 2 * h), np.float32), np.empty((2, lanes, h), np.float32)
+        state = np.zeros((2, lanes, h), np.float32)
+        for t in range(length):
+            np.take(x, both[t], axis=0, out=got, mode="clip")
+            np.matmul(state, u, out=rec)
+            np.add(got[..., : 2 * h], rec[..., : 2 * h], out=gates)
+            np.tanh(gates, out=gates)
+            gates *= half
+            gates += half
+            np.add(rec[..., 2 * h :], b, out=n)
+            n *= gates[..., :h]
+            n += got[..., 2 * h :]
+            np.tanh(n, out=n)
+            new = out[t]
+            np.subtract(state, n, out=new)
+            new *= gates[..., h:]
+            new += n
+            state = new
+        return out
+
     def logits(self, states: np.ndarray) -> np.ndarray:
         """(position, lane, language): forward state after the byte, backward state after it from the other end."""
         joined = np.concatenate([states[:, 0], states[::-1, 1]], axis=-1)
         return joined @ self.p["o"] + self.p["c"]
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        e = self.logits(self.states(windows)[0])
+        e = self.logits(self.swift(windows))
         e -= e.max(axis=-1, keepdims=True)
         np.exp(e, out=e)
         e /= e.sum(axis=-1, keepdims=True)

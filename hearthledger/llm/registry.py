@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import neardup, topk
+from .langid import op7_language_id
 from .mixing import op2_source_mixing
 from .neardup import op6_minhash_neardup
 from .packing import op1_bestfit_packing
@@ -14,6 +15,7 @@ from .pii import op3_pii
 from .quality import op4_quality_rules
 from .sharding import op5_sharding
 from .topk import op8_exact_topk
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bestfit_packing": op1_bestfit_packing,
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_minhash_neardup": op6_minhash_neardup,
+    "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE: dict[str, str] = {
     "op6_minhash_neardup": neardup.ORACLE_SQL,
