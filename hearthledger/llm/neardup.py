@@ -11,11 +11,13 @@ two-word shingles. The method is b-bit MinHash:
    (``ESTIMATE_FLOOR`` lies 5 standard deviations below the threshold);
 4. a pair is linked only when its full shingle sets satisfy ``100 * inter >= 80 * union``.
 
-Groups are never expanded into all their pairs. In the first rounds every member of a mixed band key
-(one whose members are still in different components) meets one leader of the key; components found so
-far are contracted, and pairs inside a component need no test. Only then are the remaining
-cross-component pairs of the few keys that are still mixed listed, best estimates first, until no
-untested pair is left. That loses no link that candidate generation saw.
+Groups are never expanded into all their pairs. First every member of a band key meets the key's leader
+(its smallest doc_id); linked classes become components. Keys whose members are then still in different
+components are *mixed*. Documents that mixed keys tie together form regions; a region is cut into hashed
+chunks of some CHUNK documents, and every two chunks of a region are compared once, in vector form: sizes,
+components and packed bits rule pairs out, full sets of 64-bit shingle hashes decide, and only links leave.
+Rows shipped are proportional to the documents in mixed keys, and no link that candidate generation saw
+is lost. What the chunks find is confirmed on the texts again.
 
 A pair at exactly 0.8 shares no band with probability (1 - 0.8**5)**30 = 7e-6.
 
@@ -41,7 +43,7 @@ HASHES = ROWS * BANDS
 PER_LONG = 30
 THRESHOLD_PERCENT = 80
 ESTIMATE_FLOOR = 0.62
-LEADER_ROUNDS = 3
+CHUNK = 128
 #: Ids, or pairs of ids, are broadcast only up to so many rows (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -162,9 +164,84 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long, linked boolean")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Of the pairs of a document with a component, the one of the highest estimate."""
-    return pairs.groupBy("x", "cy").agg(F.max_by("y", F.struct("est", -F.col("y"))).alias("y")).select("x", "y")
+def regions(open_: DataFrame) -> DataFrame:
+    """rep, region: documents that mixed keys tie together, by any chain."""
+    node, band = F.xxhash64(F.lit("document"), "rep"), F.xxhash64(F.lit("key"), "key")
+    found = connected(open_.select(node.alias("a"), band.alias("b")))
+    return open_.select("rep", node.alias("v")).distinct().join(found, "v").select("rep", F.col("l").alias("region"))
+
+
+def chunk_links(left: list[dict], right: list[dict], same: bool) -> list[tuple[int, int]]:
+    """Links between two chunks, those that join components not yet joined here."""
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in top:
+            c = top[c]
+        return c
+
+    sig = [np.asarray([r["sig"] for r in side], np.int64).view(np.uint64) for side in (left, right)]
+    size = [np.asarray([r["n"] for r in side]) for side in (left, right)]
+    comp = [np.asarray([r["comp"] for r in side]) for side in (left, right)]
+    x = sig[0][:, None, :] ^ sig[1][None, :, :]
+    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
+    chance = 2.0**-BITS
+    may = (1 - differ / HASHES - chance) / (1 - chance) >= ESTIMATE_FLOOR
+    may &= comp[0][:, None] != comp[1][None, :]
+    may &= 100 * np.minimum(size[0][:, None], size[1][None, :]) >= THRESHOLD_PERCENT * np.maximum(size[0][:, None], size[1][None, :])
+    if same:
+        may = np.triu(may, 1)
+    sets: list[dict[int, set]] = [{}, {}]
+    links = []
+    for i, j in zip(*np.nonzero(may), strict=True):
+        a, b = root(left[i]["comp"]), root(right[j]["comp"])
+        if a == b:
+            continue
+        for side, k, r in ((0, i, left[i]), (1, j, right[j])):
+            if k not in sets[side]:
+                sets[side][k] = set(np.frombuffer(r["hashes"], np.uint64).tolist())
+        inter = len(sets[0][i] & sets[1][j])
+        if 100 * inter >= THRESHOLD_PERCENT * (len(sets[0][i]) + len(sets[1][j]) - inter):
+            links.append((left[i]["rep"], right[j]["rep"]))
+            top[max(a, b)] = min(a, b)
+    return links
+
+
+def region_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """x, y: links across components among the documents of mixed keys, one at least for any two components that have one."""
+    placed = durable(regions(open_), "neardup-regions")
+    size = placed.groupBy("region").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    nodes = open_.select("rep", "comp", "n", "sig").dropDuplicates(["rep"]).join(placed, "rep")
+    nodes = durable(nodes.join(durable(size, "neardup-region-sizes"), "region").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts"), "neardup-nodes")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingle_hashes(words_of(t)).tobytes() for t in utf8(b.column(b.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], [*b.schema.names[:-1], "hashes"])
+
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS // 8 else nodes
+    full = texts.join(few, texts.doc_id == few.rep).select("region", "part", "rep", "comp", "n", "sig", "text")
+    full = full.mapInArrow(hashed, "region long, part long, rep long, comp long, n long, sig array<long>, hashes binary")
+    chunks = durable(full.groupBy("region", "part").agg(F.collect_list(F.struct("rep", "comp", "n", "sig", "hashes")).alias("rows")), "neardup-chunks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                same, left, right = (b.column(c)[k].as_py() for c in range(3))
+                links = chunk_links(left, right, same)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in links], pa.int64()) for c in range(2)], ["x", "y"])
+
+    one, other = chunks.withColumnsRenamed({"part": "p", "rows": "a"}), chunks.withColumnsRenamed({"part": "q", "rows": "b", "region": "r"})
+    met = one.join(other, (F.col("region") == F.col("r")) & (F.col("p") <= F.col("q"))).select((F.col("p") == F.col("q")).alias("same"), "a", "b")
+    return met.mapInArrow(run, "x long, y long")
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (rep, comp) with the components of linked documents merged."""
+    a, b = comp.select(F.col("rep").alias("x"), F.col("comp").alias("a")), comp.select(F.col("rep").alias("y"), F.col("comp").alias("b"))
+    root = connected(links.join(a, "x").join(b, "y").select("a", "b"))
+    return durable(comp.join(root, comp.comp == root.v, "left").select("rep", F.coalesce("l", "comp").alias("comp")), "neardup-comp")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -186,39 +263,21 @@ def components(docs: DataFrame) -> DataFrame:
     keyed = durable(inside.join(sig, "rep").select("key", "rep", "n", "sig"), "neardup-members")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     texts = durable(texts.dropDuplicates(["doc_id"]) if member.filter("bands is not null").groupBy("rep").count().filter("count > 1").limit(1).count() else texts, "neardup-texts")
-    comp = durable(alive.select("rep", F.col("rep").alias("comp")), "neardup-comp")
-    tested: DataFrame | None = None
-    turn = 0
-    while True:
-        now = keyed.join(comp, "rep")
-        mixed = durable(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("rep", F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("lead")).filter("lo < hi").select("key", "lead"), "neardup-mixed")
-        if mixed.isEmpty():
-            break
-        open_ = durable(now.join(mixed, "key").select("key", "lead", "rep", "comp", "n", "sig"), "neardup-open")
-        x = open_.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("sig").alias("sx"), "lead")
-        y = open_.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("sig").alias("sy"), "lead")
-        leaders = turn < LEADER_ROUNDS
-        y = y.filter("y = lead").drop("lead") if leaders else y.drop("lead")
-        may = (F.col("x") != F.col("y") if leaders else F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy"))
-        may &= 100 * F.least("nx", "ny") >= THRESHOLD_PERCENT * F.greatest("nx", "ny")
-        may &= estimate("sx", "sy") >= ESTIMATE_FLOOR
-        pairs = x.drop("lead").join(y, (x.key == y.key) & may).select("x", "y", "cy", estimate("sx", "sy").alias("est")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select(F.col("x").alias("tx"), F.col("y").alias("ty")), (F.least("x", "y") == F.col("tx")) & (F.greatest("x", "y") == F.col("ty")), "left_anti")
-        pairs = durable(pairs, "neardup-pairs")
-        n = pairs.count()
-        if n:
-            chosen = durable(_best(pairs) if leaders or n > BROADCAST_ROWS else pairs.select("x", "y"), "neardup-chosen")
-            got = durable(confirmed(chosen, texts).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "linked").distinct(), "neardup-tested")
-            tested = got if tested is None else durable(tested.union(got), "neardup-all-tested")
-            links = got.filter("linked").select("x", "y")
-            if not links.isEmpty():
-                lookup = comp.select(F.col("rep").alias("x"), F.col("comp").alias("a")), comp.select(F.col("rep").alias("y"), F.col("comp").alias("b"))
-                root = connected(links.join(lookup[0], "x").join(lookup[1], "y").select("a", "b"))
-                comp = durable(comp.join(root, comp.comp == root.v, "left").select("rep", F.coalesce("l", "comp").alias("comp")), "neardup-comp")
-        elif not leaders:
-            break
-        turn += 1
+    lead = durable(keyed.groupBy("key").agg(F.min("rep").alias("y")), "neardup-leaders")
+    met = durable(keyed.join(lead, "key").filter("rep <> y").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx"), "y").dropDuplicates(["x", "y"]), "neardup-met")
+    ends = durable(keyed.join(lead, (keyed.key == lead.key) & (F.col("rep") == F.col("y"))).select("y", F.col("n").alias("ny"), F.col("sig").alias("sy")).dropDuplicates(["y"]), "neardup-ends")
+    may = (100 * F.least("nx", "ny") >= THRESHOLD_PERCENT * F.greatest("nx", "ny")) & (estimate("sx", "sy") >= ESTIMATE_FLOOR)
+    pairs = durable(met.join(ends, "y").filter(may).select("x", "y"), "neardup-pairs")
+    comp = alive.select("rep", F.col("rep").alias("comp"))
+    links = durable(confirmed(pairs, texts).filter("linked").select("x", "y"), "neardup-links")
+    comp = joined(comp, links)
+    now = durable(keyed.join(comp, "rep"), "neardup-now")
+    mixed = durable(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "neardup-mixed")
+    if not mixed.isEmpty():
+        open_ = durable(now.join(mixed, "key"), "neardup-open")
+        more = durable(region_links(open_, texts).distinct(), "neardup-more")
+        more = durable(confirmed(more, texts).filter("linked").select("x", "y"), "neardup-more-links")
+        comp = joined(comp, more)
     final = member.select("doc_id", "n_shingles", "rep").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     rest = sigs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return final.union(rest)
