@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import neardup, topk
+from .htmltext import op10_html_text
 from .langid import op7_language_id
 from .mixing import op2_source_mixing
 from .neardup import op6_minhash_neardup
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
     "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
 }
 ORACLE: dict[str, str] = {
     "op6_minhash_neardup": neardup.ORACLE_SQL,
