@@ -35,7 +35,7 @@ MAX_TRAIN = 3_000
 STEPS = 350
 BATCH = 192
 #: Windows that advance together when predicting.
-LANES = 512
+LANES = 2048
 FOLDS = 5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -53,6 +53,21 @@ def hashed_sample(rows: DataFrame, bound: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < cut).limit(bound)
 
 
+def _tanh(x: np.ndarray, top: np.ndarray, low: np.ndarray) -> None:
+    """tanh in place by a continued fraction, to about 1e-3; several times faster than the library's."""
+    np.multiply(x, x, out=low)
+    np.add(low, np.float32(105), out=top)
+    top *= low
+    top += np.float32(945)
+    x *= top
+    np.multiply(low, np.float32(15), out=top)
+    top += np.float32(420)
+    top *= low
+    top += np.float32(945)
+    x /= top
+    np.clip(x, np.float32(-1), np.float32(1), out=x)
+
+
 class Network:
     """Weights of both directions stacked: forward 0, backward 1. Gates r, z and the candidate lie side by side."""
 
@@ -90,35 +105,35 @@ class Network:
         return out, kept
 
     def swift(self, windows: np.ndarray) -> np.ndarray:
-        """The states of ``states``, with all intermediate values written in place."""
+        """The states of ``states`` as (position, direction, unit, lane), written in place with a rational tanh."""
         lanes, length = windows.shape
-        h, b = self.h, self.p["b"]
-        half = np.float32(0.5)
+        h, half = self.h, np.float32(0.5)
         # the gates' arguments are halved once, in the weights: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
-        x, u = self.p["x"].copy(), self.p["u"].copy()
-        x[..., : 2 * h] *= half
-        u[..., : 2 * h] *= half
-        x = x.reshape(512, 3 * h)
+        scale = np.concatenate([np.full(2 * h, half), np.ones(h, np.float32)])
+        x = np.ascontiguousarray((self.p["x"] * scale).transpose(0, 2, 1), np.float32)
+        u = np.ascontiguousarray((self.p["u"] * scale).transpose(0, 2, 1), np.float32)
+        b = np.ascontiguousarray(self.p["b"].transpose(0, 2, 1), np.float32)
         both = np.stack([windows.T, windows.T[::-1]], axis=1).astype(np.intp)
-        both[:, 1] += 256
-        out = np.empty((length, 2, lanes, h), np.float32)
-        got, rec = np.empty((2, lanes, 3 * h), np.float32), np.empty((2, lanes, 3 * h), np.float32)
-        gates, n = np.empty((2, lanes, 2 * h), np.float32), np.empty((2, lanes, h), np.float32)
-        state = np.zeros((2, lanes, h), np.float32)
+        out = np.empty((length, 2, h, lanes), np.float32)
+        got, rec = np.empty((2, 3 * h, lanes), np.float32), np.empty((2, 3 * h, lanes), np.float32)
+        gates, n = np.empty((2, 2 * h, lanes), np.float32), np.empty((2, h, lanes), np.float32)
+        scratch = np.empty_like(gates), np.empty_like(gates), np.empty_like(n), np.empty_like(n)
+        state = np.zeros((2, h, lanes), np.float32)
         for t in range(length):
-            np.take(x, both[t], axis=0, out=got, mode="clip")
-            np.matmul(state, u, out=rec)
-            np.add(got[..., : 2 * h], rec[..., : 2 * h], out=gates)
-            np.tanh(gates, out=gates)
+            for k in range(2):
+                np.take(x[k], both[t, k], axis=1, out=got[k], mode="clip")
+            np.matmul(u, state, out=rec)
+            np.add(got[:, : 2 * h], rec[:, : 2 * h], out=gates)
+            _tanh(gates, *scratch[:2])
             gates *= half
             gates += half
-            np.add(rec[..., 2 * h :], b, out=n)
-            n *= gates[..., :h]
-            n += got[..., 2 * h :]
-            np.tanh(n, out=n)
+            np.add(rec[:, 2 * h :], b, out=n)
+            n *= gates[:, :h]
+            n += got[:, 2 * h :]
+            _tanh(n, *scratch[2:])
             new = out[t]
             np.subtract(state, n, out=new)
-            new *= gates[..., h:]
+            new *= gates[:, h:]
             new += n
             state = new
         return out
@@ -129,10 +144,13 @@ class Network:
         return joined @ self.p["o"] + self.p["c"]
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        e = self.logits(self.swift(windows))
-        e -= e.max(axis=-1, keepdims=True)
+        """(position, language, lane)."""
+        states = self.swift(windows)
+        e = np.matmul(np.ascontiguousarray(self.p["o"].T), np.concatenate([states[:, 0], states[::-1, 1]], axis=1))
+        e += self.p["c"][:, None]
+        e -= e.max(axis=1, keepdims=True)
         np.exp(e, out=e)
-        e /= e.sum(axis=-1, keepdims=True)
+        e /= e.sum(axis=1, keepdims=True)
         return e
 
     def gradients(self, windows: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -199,18 +217,18 @@ class Network:
         at = begin[owner] + (np.arange(len(owner)) - first[owner]) * WINDOW
         for i in range(0, len(owner), LANES):
             got = self.probabilities(raw[at[i : i + LANES, None] + np.arange(WINDOW)])
-            np.add.at(total, owner[i : i + LANES], got.sum(axis=0))
+            np.add.at(total, owner[i : i + LANES], got.sum(axis=0).T)
         # what is left over, the shorter windows sorted by length: each group reads its own number of bytes
         tails = np.flatnonzero(rest)
         tails = tails[np.argsort(rest[tails], kind="stable")]
-        for i in range(0, len(tails), 256):
-            some = tails[i : i + 256]
+        for i in range(0, len(tails), 512):
+            some = tails[i : i + 512]
             length = int(rest[some].max())
             where = begin[some] + full[some] * WINDOW
             inside = np.arange(length) < rest[some, None]
             cells = np.where(inside, raw[np.minimum(where[:, None] + np.arange(length), len(raw) - 1)], 0)
             got = self.probabilities(cells)
-            total[some] += (got * inside.T[:, :, None]).sum(axis=0)
+            total[some] += (got * inside.T[:, None, :]).sum(axis=0).T
         return total / np.maximum(1, sizes)[:, None]
 
 
@@ -243,8 +261,8 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
                 texts = list(utf8(part.column(2)))
                 known = [bool(net.languages) and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
                 got = net.predict([t for t, k in zip(texts, known, strict=True) if k]) if any(known) else np.zeros((0, 1))
