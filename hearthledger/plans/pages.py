@@ -1 +1,131 @@
-"""Queries."""
+"""Page-text gates bound to pages and documents."""
+
+from __future__ import annotations
+
+import zlib
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hearthledger.functions import pagetext as P
+from hearthledger.functions.normalise import nearest
+from hearthledger.plans.registry import Tables, query
+
+_ENTITIES = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&amp;', '&')"
+_WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda w: w <> '')"
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(" + _ENTITIES.format(r"regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + r", '[ \t\n\f\r]+', ' ', 'g'))) AS text_md5 FROM pages")
+def strip_html(t: Tables) -> DataFrame:
+    """Plain text of pages, by digest."""
+    return t.pages.select("page_id", F.md5(P.strip_html(F.col("html"))).alias("text_md5"))
+
+
+@query("SELECT page_id, nullif(" + _ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + ", '') AS title FROM pages")
+def page_title(t: Tables) -> DataFrame:
+    """Titles with entities decoded."""
+    return t.pages.select("page_id", P.page_title(F.col("html")).alias("title"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT doc_id, sum(n)::BIGINT AS tokens, frac4(max(n)::DOUBLE / sum(n)) AS share, max(n)::DOUBLE / sum(n) >= 0.5 AS degenerate FROM c GROUP BY 1 HAVING sum(n) >= 60
+""")
+def dominant_token(t: Tables) -> DataFrame:
+    """Share of the most frequent token of texts of sixty tokens and more."""
+    counts = t.documents.select("doc_id", F.explode(P.words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    share = F.max("n").cast("double") / F.sum("n")
+    return counts.groupBy("doc_id").agg(F.sum("n").alias("tokens"), nearest(share, 4).alias("share"), (share >= 0.5).alias("degenerate")).filter("tokens >= 60")
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM a WHERE len(w) >= 60),
+c AS (SELECT doc_id, n, g, count(*) AS k FROM g WHERE regexp_matches(g, '[A-Za-z]{{3,}}') GROUP BY 1, 2, 3)
+SELECT doc_id, frac4(least(1.0, 2.0::DOUBLE * max(k) / n)) AS share FROM c GROUP BY doc_id, n
+""")
+def repeated_phrase(t: Tables) -> DataFrame:
+    """Share of tokens inside the most frequent two-word phrase that holds a word."""
+    w = P.words(F.col("text"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    long = t.documents.select("doc_id", w.alias("w")).filter(F.size("w") >= 60).select("doc_id", F.size("w").alias("n"), F.explode(grams).alias("g"))
+    counts = long.filter(F.col("g").rlike("[A-Za-z]{3,}")).groupBy("doc_id", "n", "g").agg(F.count("*").alias("k"))
+    return counts.groupBy("doc_id", "n").agg(nearest(F.least(F.lit(1.0), 2.0 * F.max("k") / F.col("n")), 4).alias("share")).drop("n")
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, {_WORDS} AS w FROM documents)
+SELECT doc_id, frac4(len(list_filter(w, lambda x: (regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[#$%&*|<>]')) OR (length(x) >= 4 AND regexp_matches(x, '^[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+$'))))::DOUBLE / len(w)) AS share,
+  len(list_filter(w, lambda x: (regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[#$%&*|<>]')) OR (length(x) >= 4 AND regexp_matches(x, '^[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+$'))))::DOUBLE / len(w) >= 0.12 AS garbled FROM a WHERE len(w) >= 40
+""")
+def garble_share(t: Tables) -> DataFrame:
+    """Share of impossible tokens and whether a text layer counts as garbled."""
+    share = P.garble_share(F.col("text"))
+    return t.documents.select("doc_id", share.alias("s")).filter("s IS NOT NULL").select("doc_id", nearest(F.col("s"), 4).alias("share"), (F.col("s") >= 0.12).alias("garbled"))
+
+
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')))::INTEGER AS numbers FROM documents")
+def digit_tokens(t: Tables) -> DataFrame:
+    """Distinct number tokens of a text."""
+    return t.documents.select("doc_id", F.size(P.digit_tokens(F.col("text"))).alias("numbers"))
+
+
+@query(r"""
+WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+SELECT source, md5(line) AS line, count(DISTINCT doc_id) AS docs FROM l WHERE length(line) >= 12 GROUP BY source, line HAVING count(DISTINCT doc_id) >= 3
+""")
+def repeated_lines(t: Tables) -> DataFrame:
+    """Lines of twelve characters and more on three documents of a source and more."""
+    lines = t.documents.select("source", "doc_id", F.explode(F.transform(F.split("text", "\n"), F.trim)).alias("line")).filter(F.length("line") >= 12)
+    return lines.groupBy("source", F.md5("line").alias("line")).agg(F.countDistinct("doc_id").alias("docs")).filter("docs >= 3")
+
+
+@query(r"SELECT doc_id, md5(substr(text, 1, 600)) AS snippet, length(substr(text, 1, 600)) AS n FROM documents WHERE NOT regexp_matches(text, '\$[0-9]|[0-9]/[0-9]')")
+def snippets(t: Tables) -> DataFrame:
+    """Snippets of texts without amounts and dates are their heads."""
+    docs = t.documents.filter(~F.col("text").rlike(r"\$[0-9]|[0-9]/[0-9]"))
+    return docs.select("doc_id", P.snippet(F.col("text")).alias("s")).select("doc_id", F.md5("s").alias("snippet"), F.length("s").cast("long").alias("n"))
+
+
+@query(None)
+def repetitive_share(t: Tables) -> DataFrame:
+    """Share of characters in repeated short units (back-references, so no RE2 twin)."""
+    return t.documents.select("doc_id", nearest(P.repetitive_share(F.col("text")), 4).alias("share"))
+
+
+@F.pandas_udf("double")
+def deflate_ratio(texts: pd.Series) -> pd.Series:
+    raw = texts.fillna("").str.encode("utf-8")
+    return raw.map(lambda b: len(zlib.compress(b)) / len(b) if len(b) >= 300 else None)
+
+
+@query(None)
+def degenerate_pages(t: Tables) -> DataFrame:
+    """Texts that compress below a tenth (zlib has no built-in form: one vectorised function)."""
+    ratio = deflate_ratio(F.col("text"))
+    return t.documents.select("doc_id", ratio.alias("ratio")).filter("ratio < 0.10").select("doc_id", nearest(F.col("ratio"), 4).alias("ratio"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN trim(text) = '' THEN 'blank' WHEN n_chars < 40 THEN 'short' WHEN regexp_matches(text, '[#$%&*|]{3}') THEN 'symbols' WHEN text = upper(text) THEN 'capitals' ELSE 'keep' END AS reason FROM documents
+""")
+def second_read_queue(t: Tables) -> DataFrame:
+    """The ordered gate cascade: the first reason that holds."""
+    c = F.col("text")
+    reason = F.when(F.trim(c) == "", "blank").when(F.col("n_chars") < 40, "short").when(c.rlike("[#$%&*|]{3}"), "symbols").when(c == F.upper(c), "capitals").otherwise("keep")
+    return t.documents.select("doc_id", reason.alias("reason"))
+
+
+@query("""
+SELECT item_id, count(*) AS pages, min(doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1
+""")
+def value_on_page(t: Tables) -> DataFrame:
+    """Benchmark passages printed whole in documents: candidates by the first five words, then the full text."""
+    lead = lambda c: F.array_join(F.slice(P.words(c), 1, 5), " ")
+    asked = t.benchmark.select("item_id", F.col("text").alias("passage"), lead(F.col("text")).alias("lead"))
+    w = P.words(F.col("text"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
+    places = t.documents.select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("lead"))
+    hits = places.join(asked, "lead").select("doc_id", "item_id", "passage").distinct()  # texts are fetched for hits only
+    found = t.documents.select("doc_id", "text").join(hits, "doc_id").filter(F.contains("text", "passage"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.min("doc_id").alias("first"))

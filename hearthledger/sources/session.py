@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL = [f"file://{tempfile.gettempdir()}/hearthledger-steps"]
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -17,6 +20,16 @@ def visible(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder (spark.checkpoint.dir; a local one where unset) and read back."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _LOCAL[0]
+    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; columns are pruned and filters pushed by whoever uses it."""
     return visible(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
