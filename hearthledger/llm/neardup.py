@@ -128,14 +128,21 @@ def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(v, l): the smallest vertex that each vertex of ``edges`` (a, b) reaches. Min-label hooking with shortcuts."""
+    """(v, l): the smallest vertex that each vertex of ``edges`` (a, b) reaches. Min-label hooking with shortcuts.
+
+    The labels, one row a vertex, are broadcast while a count shows them small; then a round shuffles once.
+    """
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "cc-edges")
     labels = durable(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("l")), "cc-labels")
+    small = labels.count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else (lambda df: df)
     while True:
-        near = both.join(labels.withColumnsRenamed({"v": "b"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        hooked = labels.join(near, "v").select("v", "l", F.least("l", "m").alias("m"))
-        up = labels.select(F.col("v").alias("m"), F.col("l").alias("top"))
-        step = durable(hooked.join(up, "m", "left").select("v", F.col("l").alias("old"), F.least("m", F.coalesce("top", "m")).alias("l")), "cc-labels")
+        near = both.join(sent(labels.withColumnsRenamed({"v": "b"})), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
+        hooked = near.join(sent(labels), "v").select("v", "l", F.least("l", "m").alias("m"))
+        for k in range(2):  # two shortcuts a round
+            up = labels.select(F.col("v").alias("m"), F.col("l").alias("top"))
+            hooked = hooked.join(sent(up), "m", "left").select("v", "l", F.least("m", F.coalesce("top", "m")).alias("m"))
+        step = durable(hooked.select("v", F.col("l").alias("old"), F.col("m").alias("l")), "cc-labels")
         labels = step.select("v", "l")
         if step.filter("old <> l").isEmpty():
             return labels
@@ -239,8 +246,11 @@ def region_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``comp`` (rep, comp) with the components of linked documents merged."""
+    small = links.count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else (lambda df: df)
     a, b = comp.select(F.col("rep").alias("x"), F.col("comp").alias("a")), comp.select(F.col("rep").alias("y"), F.col("comp").alias("b"))
-    root = connected(links.join(a, "x").join(b, "y").select("a", "b"))
+    ends = a.join(sent(links), "x").select("a", "y")
+    root = sent(connected(ends.join(b, "y").select("a", "b")))
     return durable(comp.join(root, comp.comp == root.v, "left").select("rep", F.coalesce("l", "comp").alias("comp")), "neardup-comp")
 
 
