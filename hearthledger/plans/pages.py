@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthledger.functions import pagetext as P
 from hearthledger.functions.normalise import nearest
@@ -93,7 +94,7 @@ def repetitive_share(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", nearest(P.repetitive_share(F.col("text")), 4).alias("share"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def deflate_ratio(texts: pd.Series) -> pd.Series:
     raw = texts.fillna("").str.encode("utf-8")
     return raw.map(lambda b: len(zlib.compress(b)) / len(b) if len(b) >= 300 else None)
