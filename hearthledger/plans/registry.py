@@ -51,4 +51,4 @@ def query(oracle: str | None) -> Callable[[Callable[[Tables], DataFrame]], Query
     return register
 
 
-from hearthledger.plans import classify, income, linkage, normalise, packets, pages, rules, scoring, state  # noqa: E402, F401
+from hearthledger.plans import classify, income, linkage, normalise, packets, pages, people, rules, scoring, state  # noqa: E402, F401
