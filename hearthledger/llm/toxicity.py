@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     rows = training_rows(docs, labels, max_train)
     order = np.lexsort((rows["label"].to_numpy(), rows["doc_id"].to_numpy(), rows["h"].to_numpy())).tolist()
     found, marks = rows["cells"].combine_chunks() if len(rows) else [], rows["label"].to_pylist()
-    return fit([found[i].values.to_numpy().astype(np.int64) for i in order], [marks[i] for i in order])
+    return fit([found[i].values.to_numpy() for i in order], [marks[i] for i in order])  # views, no copies
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
