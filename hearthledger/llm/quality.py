@@ -7,9 +7,10 @@ into ``2**hash_bits`` cells, a *target* multinomial is counted over trusted docu
 ``sum(log p_target(g) - log p_raw(g)) / number of its n-grams`` and is kept when that mean reaches a
 fixed threshold.
 
-Corpus counts cover all documents. The target is counted over at most ``max_target`` trusted ids, those
-with the smallest hash: the bound keeps the broadcast of ids small (8 bytes each). What the driver holds
-is one table of ``2**hash_bits`` cells, whatever the input size.
+Corpus counts cover all documents, target counts all trusted ones. Trusted ids are broadcast while a count
+shows them few; beyond, the join shuffles. What the driver holds is one table of ``2**hash_bits`` cells,
+whatever the input size. The pseudo-counts grow with the target's n-grams, so that the ratios, and with
+them the meaning of the threshold, stay the same when the corpus grows.
 
 Defined cases: a null or empty text has no words and fails the base rules; with no trusted documents
 every ratio is 0 and the base rules decide alone; repeated rows are judged row by row; other columns of
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, utf8
+from .common import durable, table, utf8
 
 HASH_BITS = 18
-#: Pseudo-count that draws the ratio of a cell with little evidence towards 0.
+#: Pseudo-count that draws the ratio of a cell with little evidence towards 0; the least one.
 SHRINK = 16.0
-MAX_TARGET = 20_000
+#: n-grams of the target up to which the pseudo-count is SHRINK; beyond, it grows in proportion (that of the 0.1 tables, where THRESHOLD was set).
+SHRINK_MASS = 2_753_901
+#: Trusted ids are broadcast only up to so many rows; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 #: Mean log-ratio below which a document is rejected. On the labelled rows of the 0.1 tables clean text
 #: scores above -0.04, symbol, capital or table junk below -0.18.
 THRESHOLD = -0.1
@@ -125,7 +129,7 @@ def judge(text: bytes, ratio: np.ndarray, threshold: float, bits: int) -> tuple:
     return (len(words), chars, symbols, duplicate_lines(text), repeats, failed, not failed and llr >= threshold, llr)
 
 
-def _cell_counts(docs: DataFrame, target: DataFrame, bits: int) -> DataFrame:
+def _cell_counts(docs: DataFrame, target: DataFrame, bits: int, broadcast_rows: int) -> DataFrame:
     """(cell, raw, target) over every document; each task sums its own texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,33 +144,35 @@ def _cell_counts(docs: DataFrame, target: DataFrame, bits: int) -> DataFrame:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], ["cell", "raw", "target"])
 
-    flagged = docs.select("doc_id", "text").join(F.broadcast(target.withColumn("good", F.lit(True))), "doc_id", "left")
+    # null ids match nothing; the second key keeps them from one task of a shuffled join
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096))).otherwise(0).alias("spread")
+    known = target.select("doc_id", F.lit(0).cast("long").alias("spread"), F.lit(True).alias("good"))
+    known = F.broadcast(known) if target.count() <= broadcast_rows else known
+    flagged = docs.select("doc_id", "text", spread).join(known, ["doc_id", "spread"], "left")
     parts = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(run, "cell long, raw long, target long")
     return parts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS, max_target: int = MAX_TARGET) -> np.ndarray:
-    """log p_target - log p_raw of each cell, shrunk by SHRINK pseudo-counts; all zero where nothing is trusted."""
-    target = (
-        labels.filter("quality = 1").select(F.col("doc_id").cast("long")).distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
-    )
-    found = _cell_counts(docs, target, bits).toArrow()  # 2**bits rows at most
+def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS, broadcast_rows: int = BROADCAST_ROWS) -> np.ndarray:
+    """log p_target - log p_raw of each cell, shrunk by pseudo-counts; all zero where nothing is trusted."""
+    target = durable(labels.filter("quality = 1").select(F.col("doc_id").cast("long")).distinct(), "quality-trusted")
+    found = _cell_counts(docs, target, bits, broadcast_rows).toArrow()  # 2**bits rows at most
     raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
     at = found["cell"].to_numpy()
     raw[at], good[at] = found["raw"].to_numpy(), found["target"].to_numpy()
     if not good.sum():
         return np.zeros(1 << bits, np.float32)
     expected = raw * (good.sum() / raw.sum())
-    return np.log((good + SHRINK) / (expected + SHRINK)).astype(np.float32)
+    shrink = SHRINK * max(1.0, good.sum() / SHRINK_MASS)
+    return np.log((good + shrink) / (expected + shrink)).astype(np.float32)
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = HASH_BITS, max_target: int = MAX_TARGET, out: str = "quality") -> DataFrame:
+def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = HASH_BITS, out: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``out`` (fields of VERDICT); all other columns pass through."""
     name = out
     while name in docs.columns:
         name = f"_{name}"
-    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, bits, max_target))
+    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, bits))
     at = docs.columns.index("text")
     fields, kind = VERDICT.fieldNames(), to_arrow_type(VERDICT)
 

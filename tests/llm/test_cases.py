@@ -274,3 +274,19 @@ def test_html_rows(spark):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(base_spans(None).encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_quality_target_counts_every_trusted_document(spark):
+    docs = common.durable(spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id) AS text"), "test-trusted")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    for rows in (1_000_000, 0):  # broadcast and shuffled
+        assert not quality.log_ratios(docs, labels, broadcast_rows=rows).any()
+
+
+def test_quality_ratios_do_not_depend_on_the_size_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SHRINK_MASS", 10)
+    rows = [(i, "clean words here" if i % 2 else "junk ## here") for i in range(40)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    twice = once.union(once.selectExpr("doc_id + 100", "text"))
+    labels = spark.createDataFrame([(i + k, 1) for i in range(1, 40, 2) for k in (0, 100)], "doc_id long, quality int")
+    assert np.allclose(quality.log_ratios(once, labels), quality.log_ratios(twice, labels), atol=1e-6)
