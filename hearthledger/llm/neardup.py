@@ -1,7 +1,7 @@
 """MinHash near-duplicates (operator 6).
 
 Texts are lower-cased (A-Z), cut into words, and compared by the Jaccard similarity of their distinct
-two-word shingles. The method is b-bit MinHash:
+shingles: of two words in the query, of STAGE_WIDTH words in the pipeline. The method is b-bit MinHash:
 
 1. one pass over the texts takes ``BANDS * ROWS`` minima per document, hashes each band of ``ROWS``
    minima to a 64-bit key, and keeps only the low ``BITS`` bits of every minimum, packed in longs;
@@ -22,7 +22,7 @@ is lost. What the chunks find is confirmed on the texts again.
 A pair at exactly 0.8 shares no band with probability (1 - 0.8**5)**30 = 7e-6.
 
 Defined cases: a text without words (null, empty, white space) has an empty set and links with nothing;
-a one-word text has one shingle, its sequence; rows that share a doc_id are one document; a null doc_id
+a text shorter than a shingle has one, its sequence; rows that share a doc_id are one document; a null doc_id
 takes no part (component_id null, kept); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -42,6 +42,8 @@ ROWS, BANDS, BITS = 5, 30, 2
 HASHES = ROWS * BANDS
 PER_LONG = 30
 THRESHOLD_PERCENT = 80
+#: Words of a shingle in the query op6, and in the pipeline's stage.
+WIDTH, STAGE_WIDTH = 2, 5
 ESTIMATE_FLOOR = 0.62
 CHUNK = 128
 #: Ids, or pairs of ids, are broadcast only up to so many rows (16 bytes each); beyond, the join shuffles.
@@ -57,10 +59,10 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def shingle_set(text: bytes) -> set[tuple[bytes, ...]]:
+def shingle_set(text: bytes, width: int = WIDTH) -> set[tuple[bytes, ...]]:
     """The exact set of a text, for confirming links."""
     w = words_of(text)
-    return set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set()
+    return set(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else {tuple(w)} if w else set()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,7 +70,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
+def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """64-bit hashes of the distinct shingles."""
     if not words:
         return np.zeros(0, np.uint64)
@@ -77,7 +79,12 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
         distinct[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(distinct.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
-        return np.unique(_mixed(_mixed(h[:-1] * _K1) + h[1:]) if len(words) > 1 else _mixed(h + _K3))
+        short = len(h) < width
+        n = 1 if short else len(h) - width + 1
+        x = h[:n]
+        for k in range(1, len(h) if short else width):
+            x = _mixed(_mixed(x * _K1) + h[k : k + n])
+        return np.unique(_mixed(x + _K3) if short else x)
 
 
 def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
@@ -94,7 +101,7 @@ def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     return packed.astype(np.int64).tolist(), key.astype(np.int64).tolist()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, hash of the word sequence, packed minima, band keys; one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             cols: list[list] = [b.column(0).to_pylist(), [], [], [], []]
             for text in utf8(b.column(1)):
                 w = words_of(text)
-                h = shingle_hashes(w)
+                h = shingle_hashes(w, width)
                 sig, bands = signature(h) if len(h) else (None, None)
                 for col, x in zip(cols[1:], (len(h), xxhash.xxh3_128_digest(b" ".join(w)) if w else None, sig, bands), strict=True):
                     col.append(x)
@@ -148,7 +155,7 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pairs (x, y) of a written table with ``linked`` from their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +164,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ys, linked = b.column(1).to_pylist(), []
             for y, tx, ty in zip(ys, utf8(b.column(2)), utf8(b.column(3)), strict=True):
                 if y != last:
-                    last, held = y, shingle_set(ty)
-                own = shingle_set(tx)
+                    last, held = y, shingle_set(ty, width)
+                own = shingle_set(tx, width)
                 inter = len(own & held)
                 linked.append(100 * inter >= THRESHOLD_PERCENT * (len(own) + len(held) - inter))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
@@ -214,7 +221,7 @@ def chunk_links(left: list[dict], right: list[dict], same: bool) -> list[tuple[i
     return links
 
 
-def region_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def region_links(open_: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """x, y: links across components among the documents of mixed keys, one at least for any two components that have one."""
     placed = durable(regions(open_), "neardup-regions")
     size = placed.groupBy("region").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
@@ -223,7 +230,7 @@ def region_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingle_hashes(words_of(t)).tobytes() for t in utf8(b.column(b.num_columns - 1))]
+            got = [shingle_hashes(words_of(t), width).tobytes() for t in utf8(b.column(b.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], [*b.schema.names[:-1], "hashes"])
 
     few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS // 8 else nodes
@@ -254,9 +261,9 @@ def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return durable(comp.join(root, comp.comp == root.v, "left").select("rep", F.coalesce("l", "comp").alias("comp")), "neardup-comp")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per input row."""
-    sigs = durable(signatures(docs), "neardup-sigs")
+def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per input row; shingles of ``width`` words."""
+    sigs = durable(signatures(docs, width), "neardup-sigs")
     nodes = sigs.filter("n_shingles > 0 and doc_id is not null")
     copies = durable(nodes.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "neardup-copies")
     member = durable(
@@ -279,14 +286,14 @@ def components(docs: DataFrame) -> DataFrame:
     may = (100 * F.least("nx", "ny") >= THRESHOLD_PERCENT * F.greatest("nx", "ny")) & (estimate("sx", "sy") >= ESTIMATE_FLOOR)
     pairs = durable(met.join(ends, "y").filter(may).select("x", "y"), "neardup-pairs")
     comp = alive.select("rep", F.col("rep").alias("comp"))
-    links = durable(confirmed(pairs, texts).filter("linked").select("x", "y"), "neardup-links")
+    links = durable(confirmed(pairs, texts, width).filter("linked").select("x", "y"), "neardup-links")
     comp = joined(comp, links)
     now = durable(keyed.join(comp, "rep"), "neardup-now")
     mixed = durable(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "neardup-mixed")
     if not mixed.isEmpty():
         open_ = durable(now.join(mixed, "key"), "neardup-open")
-        more = durable(region_links(open_, texts).distinct(), "neardup-more")
-        more = durable(confirmed(more, texts).filter("linked").select("x", "y"), "neardup-more-links")
+        more = durable(region_links(open_, texts, width).distinct(), "neardup-more")
+        more = durable(confirmed(more, texts, width).filter("linked").select("x", "y"), "neardup-more-links")
         comp = joined(comp, more)
     final = member.select("doc_id", "n_shingles", "rep").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     rest = sigs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -300,7 +307,7 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays, once."""
-    found = durable(components(docs.select("doc_id", "text")), "neardup-found")
+    found = durable(components(docs.select("doc_id", "text"), STAGE_WIDTH), "neardup-found")
     gone = durable(found.filter("doc_id <> component_id").select("doc_id").distinct(), "neardup-gone")
     kept = docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
     again = durable(found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "neardup-again")

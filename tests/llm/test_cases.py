@@ -290,3 +290,32 @@ def test_quality_ratios_do_not_depend_on_the_size_of_the_corpus(spark, monkeypat
     twice = once.union(once.selectExpr("doc_id + 100", "text"))
     labels = spark.createDataFrame([(i + k, 1) for i in range(1, 40, 2) for k in (0, 100)], "doc_id long, quality int")
     assert np.allclose(quality.log_ratios(once, labels), quality.log_ratios(twice, labels), atol=1e-6)
+
+
+def test_neardup_stage_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words, texts = [f"w{i}" for i in range(400)], []
+    for _ in range(10):
+        base = rng.choice(words, 80).tolist()
+        for _ in range(6):
+            w = list(base)
+            for i in rng.choice(80, rng.integers(0, 5), replace=False):
+                w[i] = str(rng.choice(words))
+            texts.append((len(texts), " ".join(w)))
+    page = [f"p{i}" for i in range(200)]  # ten spread edits: 0.82 in two-word shingles, 0.6 in five-word ones
+    texts += [(800, " ".join(page)), (801, " ".join("new" + w if i % 20 == 10 else w for i, w in enumerate(page)))]
+    texts += [(900, None), (901, ""), (902, "a b c"), (903, "A b  C"), (904, "a b d"), (905, "a b c d e"), (906, "a b c d e f")]
+    sets = {}
+    for d, t in texts:
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    top = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+    docs = common.durable(spark.createDataFrame(texts, "doc_id long, text string"), "test-near-stage")
+    kept = sorted(r.doc_id for r in neardup.stage(spark, docs, "").collect())
+    assert kept == [d for d in sets if top[d] == d] and {800, 801, 904, 906} <= set(kept) and 903 not in kept
