@@ -112,8 +112,8 @@ def _phases(cells: DataFrame) -> DataFrame:
     return cells.groupBy("source").agg(*off).select("source", best["phase"].alias("phase"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies; one row per document."""
+def _mixed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies; one row per document."""
     sized = durable(sizes(docs), "mix-sizes")
     histogram = durable(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     goals = durable(targets(histogram), "mix-targets")
@@ -133,7 +133,12 @@ def mix(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(W.partitionBy("source", "size", "slice").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id"))
     phase = F.when(F.col("slices") > 1, F.pmod(F.xxhash64("source", "size", "slice"), F.lit(_ONE))).otherwise(F.pmod("before", F.lit(_ONE)))
     copies = F.floor((phase + F.col("rate") * place) / _ONE) - F.floor((phase + F.col("rate") * (place - 1)) / _ONE)
-    return joined.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return joined.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies; one row per document."""
+    return _mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,20 +148,41 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it (0 to MAX_COPIES times).
 
-    Rows that share a doc_id are told apart by their order in the mix, which takes each once.
+    The copies of rows that share a doc_id, null included, are summed by (doc_id, source, size) and spread
+    over these rows, so that every source keeps its words. The rows are numbered within hashed slices.
     """
-    taken = mix(docs.select("doc_id", "source", "text")).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = durable(taken, "mix-copies")
-    numbered = docs
-    repeated = durable(taken.filter("_rows > 1").select("doc_id"), "mix-repeated")
-    if not repeated.isEmpty():  # spread the copies of a repeated doc_id over its rows
-        rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        many = docs.join(repeated, "doc_id", "left_semi").withColumn("_place", rank)
-        numbered = docs.join(repeated, "doc_id", "left_anti").withColumn("_place", F.lit(1)).unionByName(many.select(*docs.columns, "_place"))
-    else:
-        numbered = docs.withColumn("_place", F.lit(1))
-    t = taken.withColumnRenamed("doc_id", "_id")
+    mixed = durable(_mixed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "copies"), "mix-copies")
+    repeated = durable(mixed.groupBy("doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.col("doc_id").alias("_id")), "mix-repeated")
+    taken, once, many = mixed, docs, None
+    if not repeated.isEmpty():
+        rep = F.broadcast(repeated) if _small(repeated, 500_000) else repeated
+        same = lambda df: df["doc_id"].eqNullSafe(rep["_id"])
+        taken, once = mixed.join(rep, same(mixed), "left_anti"), docs.join(rep, same(docs), "left_anti")
+        many = _spread(docs.join(rep, same(docs), "left_semi"), mixed.join(rep, same(mixed), "left_semi"))
+    t = taken.select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_times"))
     t = F.broadcast(t) if _small(t, 500_000) else t
-    share = F.floor(F.col("_copies") * F.col("_place") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_place") - 1) / F.col("_rows"))
-    out = numbered.join(t, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_times", share.cast("int"))
+    out = once.join(t, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "_times")
+    out = out if many is None else out.unionByName(many)
     return out.filter("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def _spread(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``docs`` with ``_times``: of rows alike in doc_id, source and size, the place decides which take a copy more."""
+    key = ["_id", "_source", "_size"]
+    alike = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    alike = durable(alike.withColumn("_slices", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") / SLICE))), "mix-alike")
+    alike = F.broadcast(alike) if _small(alike) else alike
+    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn("_words", size).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.join(alike, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    rows = durable(rows.withColumn("_slice", F.pmod(F.xxhash64("_row"), F.col("_slices"))), "mix-alike-rows")
+    sums = rows.groupBy(*key, "_slice").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = durable(sums.select(*(F.col(c).alias(f"{c}2") for c in [*key, "_slice"]), before.alias("_before")), "mix-alike-slices")
+    sums = F.broadcast(sums) if _small(sums) else sums
+    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy(*key, "_slice").orderBy("_row")))
+    for k, c in enumerate([*key, "_slice"]):
+        same = F.col(c).eqNullSafe(F.col(f"{c}2"))
+        on = same if k == 0 else on & same
+    times = F.expr("(_copies * (_before + _place)) div _rows - (_copies * (_before + _place - 1)) div _rows").cast("int")
+    return placed.join(sums, on).withColumn("_times", times).select(*docs.columns, "_times")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthledger.llm import common, htmltext, langid, mixing, neardup, packing, pii, quality, sharding, topk, toxicity
+from hearthledger.llm import common, htmltext, langid, mixing, neardup, packing, pii, pipeline, quality, sharding, topk, toxicity
 
 LONG = "word " * 30_000 + "end"
 TEXTS = [(1, None, "b"), (2, "", None), (3, LONG, "a"), (4, "one two three", "a"), (4, "one two three", "a"), (None, "one two three", "b"), (5, " \t\n", "c"), (6, "ünï ☃ 漢字", "c")]
@@ -319,3 +319,46 @@ def test_neardup_stage_by_brute_force(spark):
     docs = common.durable(spark.createDataFrame(texts, "doc_id long, text string"), "test-near-stage")
     kept = sorted(r.doc_id for r in neardup.stage(spark, docs, "").collect())
     assert kept == [d for d in sets if top[d] == d] and {800, 801, 904, 906} <= set(kept) and 903 not in kept
+
+
+def test_mixing_stage_keeps_rows_with_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 else i % 10, f"{'abc'[i % 3]} " * (1 + i % 7), "xyzw"[i * i % 4] if i % 11 else None, i) for i in range(900)]
+    docs = common.durable(spark.createDataFrame(rows, "doc_id long, text string, source string, n int"), "test-stage")
+    want = mixing._mixed(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c")).filter("c > 0").collect()
+    got = mixing.stage(spark, docs, "").collect()
+    words, times, rows_of, where = {}, {}, {}, {}
+    for d, t, s, n in rows:
+        where[n] = (d, s, len(t.split()))
+        rows_of[where[n]] = rows_of.get(where[n], 0) + 1
+    for r in got:
+        words[where[r.n]] = words.get(where[r.n], 0) + 1
+        times[r.n] = times.get(r.n, 0) + 1
+    assert words == {(r.doc_id, r.source, r["size"]): r.c for r in want}
+    for n, k in where.items():  # spread evenly
+        each = words.get(k, 0) / rows_of[k]
+        assert np.floor(each) <= times.get(n, 0) <= np.ceil(each)
+
+
+def brute_pipeline_input(rows):
+    return [(d, t, s) for d, t, s in rows if len((t or "").split()) >= quality.MIN_WORDS]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(None if i % 4 == 0 else i, " ".join(rng.choice(words, 60 + i % 5)), "ab"[i % 2]) for i in range(60)]
+    rows += [(1, rows[1][1], "a"), (500, rows[5][1], "b"), (501, "too short", "a"), (None, None, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = [r for r in brute_pipeline_input(rows) if r[0] != 500]  # a copy of document 5
+    left.remove((1, rows[1][1], "a"))  # a repeated row goes once
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for stage in (quality.stage, neardup.stage, pii.stage):
+        docs = common.durable(stage(spark, docs, str(tmp_path)), "test-pipeline")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text, r.source) for r in docs.collect()), key=key) == sorted(left, key=key)
+    taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    mixed = common.durable(mixing.stage(spark, docs, str(tmp_path)), "test-pipeline")
+    assert sum(len(r.text.split()) for r in mixed.collect()) == taken
+    got, want = pipeline.run(spark, str(tmp_path)), packing.stage(spark, mixed, str(tmp_path))
+    assert got.agg(F.sum("length")).first() == want.agg(F.sum("length")).first() and got.filter("doc_id is null").count() > 0
