@@ -112,6 +112,13 @@ class Leaves(HTMLParser):
                 self._pop(i)
                 break
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no known keyword: a bogus comment up to the next '>', as browsers read it
+            end = self.parse_bogus_comment(i, report)
+            return len(self.rawdata) if end < 0 else end
+
     def handle_data(self, data):
         if self.silent:
             return
@@ -127,11 +134,8 @@ class Leaves(HTMLParser):
 
 def leaves(html: str) -> list[tuple[str, Block]]:
     p = Leaves()
-    try:
-        p.feed(html)
-        p.close()
-    except (AssertionError, ValueError):  # the parser gives up on some broken declarations: keep what it read
-        pass
+    p.feed(html)
+    p.close()
     p._close()
     return p.blocks
 

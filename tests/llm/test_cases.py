@@ -321,6 +321,12 @@ def test_neardup_stage_by_brute_force(spark):
     assert kept == [d for d in sets if top[d] == d] and {800, 801, 904, 906} <= set(kept) and 903 not in kept
 
 
+@pytest.mark.parametrize("mark", ["<![foo bar]>", "<![ x]>", "<![1]>", "<![>"])
+def test_html_reads_on_after_an_unknown_marked_section(mark):
+    assert [t for t, _ in htmltext.leaves(f"<p>a</p>{mark}<p>b</p><p>c</p>")] == ["a", "b", "c"]
+    assert [t for t, _ in htmltext.leaves("<p>a</p><![foo bar")] == ["a"]
+
+
 def test_mixing_stage_keeps_rows_with_null_and_repeated_ids(spark):
     rows = [(None if i % 3 else i % 10, f"{'abc'[i % 3]} " * (1 + i % 7), "xyzw"[i * i % 4] if i % 11 else None, i) for i in range(900)]
     docs = common.durable(spark.createDataFrame(rows, "doc_id long, text string, source string, n int"), "test-stage")
