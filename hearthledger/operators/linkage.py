@@ -69,13 +69,23 @@ def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def drop_totals(lines: Column, tolerance: float = 0.005) -> Column:
-    """Of an array of amounts, whether each equals a sum of two to six others (arrays of up to twelve)."""
-    n = F.size(lines)
-    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.least(n, F.lit(12))).cast("long") - 1)
+    """Of an array of amounts, whether each equals a sum of two to six others, of all the array.
+
+    The distinct sums of one to six others grow line by line; where no amount is negative, sums beyond the line go.
+    """
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    sums = [f"s{k}" for k in range(7)]
 
     def total(i: Column) -> Column:
-        others = F.filter(masks, lambda m: (F.bit_count(m) >= 2) & (F.bit_count(m) <= 6) & (F.getbit(m, i) == 0))
-        sums = F.transform(others, lambda m: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, j: a + F.when(F.getbit(m, j) == 1, F.get(lines, j)).otherwise(0.0)))
-        return F.exists(sums, lambda s: F.abs(s - F.get(lines, i)) < tolerance)
+        value = F.get(lines, i)
+        useful = lambda s: s.isNull() | (F.array_min(lines) < 0) | (s < value + tolerance)
+
+        def add(state: Column, j: Column) -> Column:
+            more = [F.filter(F.transform(state[a], lambda s: s + F.get(lines, j)), useful) for a in sums[:-1]]
+            return F.struct(state["s0"].alias("s0"), *(F.array_distinct(F.concat(state[b], m)).alias(b) for b, m in zip(sums[1:], more, strict=True)))
+
+        none = F.struct(F.array(F.lit(0.0)).alias("s0"), *(F.array().cast("array<double>").alias(b) for b in sums[1:]))
+        found = F.aggregate(F.filter(places, lambda j: j != i), none, add, lambda state: F.concat(*(state[b] for b in sums[2:])))
+        return F.exists(found, lambda s: F.abs(s - value) < tolerance)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), total)
+    return F.transform(places, total)

@@ -1,6 +1,8 @@
 """Operators on small literal tables, and independence of row order."""
 
 import datetime
+import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -69,3 +71,17 @@ def test_claim_while_owned_is_dropped(spark):
 def test_runs_keep_gaps_apart(spark):
     e = spark.createDataFrame([("c", 1, "x"), ("c", 2, "x"), ("c", 3, None), ("c", 4, "x")], "k string, i int, v string")
     assert sorted((r.run, r.v, r.n) for r in classify.runs(e, "k", "i", "v").collect()) == [(1, "x", 2), (2, None, 1), (3, "x", 1)]
+
+
+def test_totals_over_all_lines_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [[float(rng.randint(1, 10**4)) for _ in range(13)] for _ in range(3)] + [[rng.randint(-300, 500) / 4 for _ in range(9)], [5.0], []]
+    for q in rows[:3]:
+        q.append(q[1] + q[12])  # a total of line 13
+        q.append(sum(q[8:14]))
+    got = spark.createDataFrame([(q,) for q in rows], "q array<double>").coalesce(1).select("q", linkage.drop_totals(F.col("q")).alias("t")).collect()
+    for r in got:
+        if r.q:
+            others = [[x for j, x in enumerate(r.q) if j != i] for i in range(len(r.q))]
+            assert r.t == [any(abs(sum(c) - v) < 0.005 for k in range(2, 7) for c in combinations(o, k)) for v, o in zip(r.q, others, strict=True)]
+    assert len(got) == 6 and got[0].t[13:] == [True, True]
