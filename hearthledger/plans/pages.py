@@ -102,9 +102,21 @@ def deflate_ratio(texts: pd.Series) -> pd.Series:
 
 @query(None)
 def degenerate_pages(t: Tables) -> DataFrame:
-    """Texts that compress below a tenth (zlib has no built-in form: one vectorised function)."""
-    ratio = deflate_ratio(F.col("text"))
-    return t.documents.select("doc_id", ratio.alias("ratio")).filter("ratio < 0.10").select("doc_id", nearest(F.col("ratio"), 4).alias("ratio"))
+    """Texts that compress below a tenth, are half one token, or 35 % one phrase of two or three words.
+
+    zlib has no built-in form: one vectorised function. Compression and token need 300 bytes, the phrase 60 tokens with a word in it.
+    """
+    w, n = P.words(F.col("text")), F.size("w")
+    word = lambda g: F.exists(g, lambda x: F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 3)
+    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.slice("w", i, k))
+    grams = [F.when(n >= k, cut(k)).otherwise(F.array().cast("array<array<string>>")) for k in (1, 2, 3)]
+    each = t.documents.select("doc_id", w.alias("w")).select("doc_id", n.alias("tokens"), F.explode(F.concat(*grams)).alias("g"))
+    counts = each.groupBy("doc_id", "tokens", "g").agg(F.count("*").alias("k")).withColumn("share", F.least(F.lit(1.0), F.col("k") * F.size("g") / F.col("tokens")))
+    phrased = (F.size("g") > 1) & (F.col("tokens") >= 60) & word(F.col("g"))
+    shares = counts.groupBy("doc_id").agg(F.max(F.when(F.size("g") == 1, F.col("share"))).alias("token"), F.max(F.when(phrased, F.col("share"))).alias("phrase"))
+    found = t.documents.select("doc_id", deflate_ratio(F.col("text")).alias("ratio")).join(shares, "doc_id", "left")
+    held = (F.col("ratio") < 0.10) | (F.col("ratio").isNotNull() & (F.col("token") >= 0.5)) | (F.col("phrase") >= 0.35)
+    return found.filter(held).select("doc_id", *(nearest(F.col(c), 4).alias(c) for c in ("ratio", "token", "phrase")))
 
 
 @query(r"""

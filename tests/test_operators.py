@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.functions import similarity as M
 from hearthledger.operators import classify, income, linkage, rules, scoring, state
+from hearthledger.plans import registry
 from hearthledger.sources.session import written
 
 
@@ -85,3 +86,23 @@ def test_totals_over_all_lines_by_brute_force(spark):
             others = [[x for j, x in enumerate(r.q) if j != i] for i in range(len(r.q))]
             assert r.t == [any(abs(sum(c) - v) < 0.005 for k in range(2, 7) for c in combinations(o, k)) for v, o in zip(r.q, others, strict=True)]
     assert len(got) == 6 and got[0].t[13:] == [True, True]
+
+
+def test_degenerate_pages_by_token_and_phrase(spark, tmp_path):
+    rng = random.Random(2)
+    noise = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(n)]
+    mixed = lambda a, b: " ".join(rng.sample([*a, *b], len(a) + len(b)))
+    texts = {
+        1: "all the same words " * 200,  # compresses
+        2: mixed(["9"] * 70, noise(60)),  # one token
+        3: mixed(["Payrolls by Inc."] * 20, noise(90)),  # three words: 40 %, two of them 27 %
+        4: mixed(["pay slip"] * 30, noise(60)),  # two words
+        5: mixed(["- - -"] * 25, noise(95)),  # no word in it
+        6: " ".join(noise(120)),
+        7: "no no",
+        8: None,
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["degenerate_pages"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and all(got[d].ratio >= 0.10 for d in (2, 3, 4))
+    assert got[2].token >= 0.5 and got[3].phrase == 0.4 and got[4].phrase >= 0.35
