@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,31 +17,51 @@ from pyspark.sql import functions as F
 
 from hearthledger.sources.session import table
 
-__all__ = ["WORD", "durable", "shared_dir", "table", "text_or_empty", "utf8"]
+__all__ = ["WORD", "durable", "scratch", "shared_dir", "table", "text_or_empty", "utf8"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _LOCAL_DIR: list[str] = []
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="hearthledger-"))
     return f"file://{_LOCAL_DIR[0]}"
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: a lineage cut that survives lost executors."""
+def durable(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: a lineage cut that survives lost executors.
+
+    Inside ``scratch`` the table goes when that ends, unless ``keep`` is set.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[max(0, len(_SCRATCH) - 1 - keep)].extend([path] if not keep or len(_SCRATCH) > 1 else [])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``durable`` writes inside are deleted at the end, when nothing reads them any more; kept ones belong to the scratch around this one, if any."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

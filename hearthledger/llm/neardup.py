@@ -5,25 +5,33 @@ shingles: of two words in the query, of STAGE_WIDTH words in the pipeline. The m
 
 1. one pass over the texts takes ``BANDS * ROWS`` minima per document, hashes each band of ``ROWS``
    minima to a 64-bit key, and keeps only the low ``BITS`` bits of every minimum, packed in longs;
-2. documents with equal word sequences become one class, led by the smallest doc_id;
+2. documents with equal word sequences become one class, stood for by one of its rows;
 3. classes that share a band key are candidates. Their similarity is estimated from the packed bits by
    XOR and bit counts, corrected for chance collisions; clearly dissimilar pairs stop there
-   (``ESTIMATE_FLOOR`` lies 5 standard deviations below the threshold);
-4. a pair is linked only when its full shingle sets satisfy ``100 * inter >= 80 * union``.
-
-Groups are never expanded into all their pairs. First every member of a band key meets the key's leader
-(its smallest doc_id); linked classes become components. Keys whose members are then still in different
-components are *mixed*. Documents that mixed keys tie together form regions; a region is cut into hashed
-chunks of some CHUNK documents, and every two chunks of a region are compared once, in vector form: sizes,
-components and packed bits rule pairs out, full sets of 64-bit shingle hashes decide, and only links leave.
-Rows shipped are proportional to the documents in mixed keys, and no link that candidate generation saw
-is lost. What the chunks find is confirmed on the texts again.
+   (``ESTIMATE_FLOOR`` lies 4.5 standard deviations below the threshold);
+4. a pair is linked only when its full shingle sets, held as sorted 64-bit hashes of every distinct shingle,
+   satisfy ``100 * inter >= 80 * union``.
+
+Groups are never expanded into all their pairs. First every member of a band key meets leaders only (the
+key's least class): the most similar of its leaders, then those still in another component. Linked classes
+become components. Keys whose members are then still in different components are *mixed*; only there can a
+link be missing. Their members are put into blocks of some BLOCK classes or BLOCK_HASHES hashes, by the
+member's largest mixed key and, where one component alone fills blocks, by that component. Two blocks are
+compared, once, if a mixed key has members in both, unless both hold one and the same component; a block's
+sets meet in matrix products, and only a spanning forest of the links leaves. So rows shipped follow the
+members of mixed keys outside their key's main component, not pairs, and no link that candidate generation
+saw is lost. What remains quadratic, in arithmetic and in blocks shipped, is a key of which many members are
+similar to each other, below the threshold, in many components.
+
+Hot groups: leaders are joined in slices counted beforehand; the joins on a band key carry three longs a
+row and are inner joins that adaptive execution may split.
 
 A pair at exactly 0.8 shares no band with probability (1 - 0.8**5)**30 = 7e-6.
 
 Defined cases: a text without words (null, empty, white space) has an empty set and links with nothing;
-a text shorter than a shingle has one, its sequence; rows that share a doc_id are one document; a null doc_id
-takes no part (component_id null, kept); an empty table gives an empty result; other columns are ignored.
+a text shorter than a shingle has one, its sequence; every row is a document, also where rows share a
+doc_id; a null doc_id takes no part (component_id null, kept); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, utf8
+from .common import durable, scratch, table, utf8
 
 ROWS, BANDS, BITS = 5, 30, 2
 HASHES = ROWS * BANDS
@@ -45,9 +53,12 @@ THRESHOLD_PERCENT = 80
 #: Words of a shingle in the query op6, and in the pipeline's stage.
 WIDTH, STAGE_WIDTH = 2, 5
 ESTIMATE_FLOOR = 0.62
-CHUNK = 128
+#: A block holds about so many classes, or so many shingle hashes (8 bytes each), whichever is reached first.
+BLOCK, BLOCK_HASHES = 256, 1 << 16
+#: Shingles that two blocks share are compared so many at a time.
+COLUMNS = 4096
 #: Ids, or pairs of ids, are broadcast only up to so many rows (16 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(20_240_611)
 _A = (_RNG.integers(0, 1 << 31, HASHES, np.uint64) * 2 + 1).astype(np.uint32)
@@ -59,12 +70,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> set[tuple[bytes, ...]]:
-    """The exact set of a text, for confirming links."""
-    w = words_of(text)
-    return set(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else {tuple(w)} if w else set()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _K2
     return x ^ (x >> np.uint64(29))
@@ -102,21 +107,31 @@ def signature(hashes: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, hash of the word sequence, packed minima, band keys; one row per input row."""
+    """doc_id, hash of the text, n_shingles, hash of the word sequence, packed minima, band keys; one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
-            cols: list[list] = [b.column(0).to_pylist(), [], [], [], []]
-            for text in utf8(b.column(1)):
-                w = words_of(text)
-                h = shingle_hashes(w, width)
-                sig, bands = signature(h) if len(h) else (None, None)
-                for col, x in zip(cols[1:], (len(h), xxhash.xxh3_128_digest(b" ".join(w)) if w else None, sig, bands), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_shingles", "seq", "sig", "bands"])
+            for i in range(0, b.num_rows, 1024):
+                part, cols = b.slice(i, 1024), [[] for _ in kinds]
+                for text in utf8(part.column(2)):
+                    w = words_of(text)
+                    h = shingle_hashes(w, width)
+                    sig, bands = signature(h) if len(h) else (None, None)
+                    for col, x in zip(cols, (len(h), xxhash.xxh3_128_digest(b" ".join(w)) if w else None, sig, bands), strict=True):
+                        col.append(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+
+    names = ["doc_id", "th", "n_shingles", "seq", "sig", "bands"]
+    return _hashed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, seq binary, sig array<long>, bands array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, seq binary, sig array<long>, bands array<long>")
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("th"), F.col("text").cast("string"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def estimate(a: str, b: str) -> Column:
@@ -155,38 +170,41 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Pairs (x, y) of a written table with ``linked`` from their full shingle sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
-        for b in batches:
-            ys, linked = b.column(1).to_pylist(), []
-            for y, tx, ty in zip(ys, utf8(b.column(2)), utf8(b.column(3)), strict=True):
-                if y != last:
-                    last, held = y, shingle_set(ty, width)
-                own = shingle_set(tx, width)
-                inter = len(own & held)
-                linked.append(100 * inter >= THRESHOLD_PERCENT * (len(own) + len(held) - inter))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
-
-    few = pairs.count() <= BROADCAST_ROWS
-    near = F.broadcast(pairs) if few else pairs
-    left = texts.join(near, texts.doc_id == near.x).select("x", "y", F.col("text").alias("tx"))
-    ends = pairs.select(F.col("y").alias("doc_id")).distinct()
-    right = texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
-    return left.join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long, linked boolean")
-
-
-def regions(open_: DataFrame) -> DataFrame:
-    """rep, region: documents that mixed keys tie together, by any chain."""
-    node, band = F.xxhash64(F.lit("document"), "rep"), F.xxhash64(F.lit("key"), "key")
-    found = connected(open_.select(node.alias("a"), band.alias("b")))
-    return open_.select("rep", node.alias("v")).distinct().join(found, "v").select("rep", F.col("l").alias("region"))
-
-
-def chunk_links(left: list[dict], right: list[dict], same: bool) -> list[tuple[int, int]]:
-    """Links between two chunks, those that join components not yet joined here."""
+def spanning(left: pa.Array, right: pa.Array, same: bool) -> list[tuple[int, int]]:
+    """Pairs of components that links between two blocks (arrays of v, comp, n, sig, hashes) join; a spanning forest."""
+    sig, size, comp = ([np.asarray(side.field(c).flatten() if c == "sig" else side.field(c)) for side in (left, right)] for c in ("sig", "n", "comp"))
+    sig = [x.view(np.uint64).reshape(-1, HASHES // PER_LONG) for x in sig]
+    differ = np.zeros((len(size[0]), len(size[1])), np.int16)
+    for k in range(HASHES // PER_LONG):
+        x = sig[0][:, k, None] ^ sig[1][None, :, k]
+        differ += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    chance = 2.0**-BITS
+    may = (1 - differ / HASHES - chance) / (1 - chance) >= ESTIMATE_FLOOR
+    may &= comp[0][:, None] != comp[1][None, :]
+    may &= 100 * np.minimum(size[0][:, None], size[1][None, :]) >= THRESHOLD_PERCENT * np.maximum(size[0][:, None], size[1][None, :])
+    if same:
+        may = np.triu(may, 1)
+    rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(rows):
+        return []
+    sets, owner = [], []
+    for side, at in ((left, rows), (right, cols)):
+        own = [np.frombuffer(side.field("hashes")[int(i)].as_buffer(), np.uint64) for i in at]
+        sets.append(np.concatenate(own))
+        owner.append(np.repeat(np.arange(len(at)), [len(x) for x in own]))
+    common = np.intersect1d(*map(np.unique, sets), assume_unique=True)
+    where = [np.searchsorted(common, x) for x in sets]
+    hit = [common[np.minimum(w, len(common) - 1)] == x if len(common) else np.zeros(len(x), bool) for w, x in zip(where, sets, strict=True)]
+    inter = np.zeros((len(rows), len(cols)), np.int64)
+    for i in range(0, len(common), COLUMNS):
+        m = []
+        for o, w, h, at in zip(owner, where, hit, (rows, cols), strict=True):
+            now = h & (w >= i) & (w < i + COLUMNS)
+            one = np.zeros((len(at), COLUMNS), np.float32)
+            one[o[now], w[now] - i] = 1
+            m.append(one)
+        inter += (m[0] @ m[1].T).astype(np.int64)
+    linked = may[np.ix_(rows, cols)] & (100 * inter >= THRESHOLD_PERCENT * (size[0][rows][:, None] + size[1][cols][None, :] - inter))
     top: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -194,127 +212,174 @@ def chunk_links(left: list[dict], right: list[dict], same: bool) -> list[tuple[i
             c = top[c]
         return c
 
-    sig = [np.asarray([r["sig"] for r in side], np.int64).view(np.uint64) for side in (left, right)]
-    size = [np.asarray([r["n"] for r in side]) for side in (left, right)]
-    comp = [np.asarray([r["comp"] for r in side]) for side in (left, right)]
-    x = sig[0][:, None, :] ^ sig[1][None, :, :]
-    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
-    chance = 2.0**-BITS
-    may = (1 - differ / HASHES - chance) / (1 - chance) >= ESTIMATE_FLOOR
-    may &= comp[0][:, None] != comp[1][None, :]
-    may &= 100 * np.minimum(size[0][:, None], size[1][None, :]) >= THRESHOLD_PERCENT * np.maximum(size[0][:, None], size[1][None, :])
-    if same:
-        may = np.triu(may, 1)
-    sets: list[dict[int, set]] = [{}, {}]
-    links = []
-    for i, j in zip(*np.nonzero(may), strict=True):
-        a, b = root(left[i]["comp"]), root(right[j]["comp"])
-        if a == b:
-            continue
-        for side, k, r in ((0, i, left[i]), (1, j, right[j])):
-            if k not in sets[side]:
-                sets[side][k] = set(np.frombuffer(r["hashes"], np.uint64).tolist())
-        inter = len(sets[0][i] & sets[1][j])
-        if 100 * inter >= THRESHOLD_PERCENT * (len(sets[0][i]) + len(sets[1][j]) - inter):
-            links.append((left[i]["rep"], right[j]["rep"]))
-            top[max(a, b)] = min(a, b)
-    return links
-
-
-def region_links(open_: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """x, y: links across components among the documents of mixed keys, one at least for any two components that have one."""
-    placed = durable(regions(open_), "neardup-regions")
-    size = placed.groupBy("region").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    nodes = open_.select("rep", "comp", "n", "sig").dropDuplicates(["rep"]).join(placed, "rep")
-    nodes = durable(nodes.join(durable(size, "neardup-region-sizes"), "region").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts"), "neardup-nodes")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shingle_hashes(words_of(t), width).tobytes() for t in utf8(b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], [*b.schema.names[:-1], "hashes"])
+    found = []
+    i, j = np.nonzero(linked)
+    for a, b in dict.fromkeys(zip(comp[0][rows[i]].tolist(), comp[1][cols[j]].tolist(), strict=True)):
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            found.append((a, b))
+            top[max(ra, rb)] = min(ra, rb)
+    return found
 
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS // 8 else nodes
-    full = texts.join(few, texts.doc_id == few.rep).select("region", "part", "rep", "comp", "n", "sig", "text")
-    full = full.mapInArrow(hashed, "region long, part long, rep long, comp long, n long, sig array<long>, hashes binary")
-    chunks = durable(full.groupBy("region", "part").agg(F.collect_list(F.struct("rep", "comp", "n", "sig", "hashes")).alias("rows")), "neardup-chunks")
+
+def block_links(met: DataFrame) -> DataFrame:
+    """a, b: components joined by links, from pairs of blocks (left, right, same)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                same, left, right = (b.column(c)[k].as_py() for c in range(3))
-                links = chunk_links(left, right, same)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in links], pa.int64()) for c in range(2)], ["x", "y"])
+            sides = [(b.column(c).values, b.column(c).offsets.to_numpy()) for c in (0, 1)]
+            for k, same in enumerate(b.column(2).to_pylist()):
+                found = spanning(*(v.slice(o[k], o[k + 1] - o[k]) for v, o in sides), same)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    one, other = chunks.withColumnsRenamed({"part": "p", "rows": "a"}), chunks.withColumnsRenamed({"part": "q", "rows": "b", "region": "r"})
-    met = one.join(other, (F.col("region") == F.col("r")) & (F.col("p") <= F.col("q"))).select((F.col("p") == F.col("q")).alias("same"), "a", "b")
-    return met.mapInArrow(run, "x long, y long")
+    return met.select("left", "right", "same").mapInArrow(run, "a long, b long")
 
 
-def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """``comp`` (rep, comp) with the components of linked documents merged."""
-    small = links.count() <= BROADCAST_ROWS
-    sent = F.broadcast if small else (lambda df: df)
-    a, b = comp.select(F.col("rep").alias("x"), F.col("comp").alias("a")), comp.select(F.col("rep").alias("y"), F.col("comp").alias("b"))
-    ends = a.join(sent(links), "x").select("a", "y")
-    root = sent(connected(ends.join(b, "y").select("a", "b")))
-    return durable(comp.join(root, comp.comp == root.v, "left").select("rep", F.coalesce("l", "comp").alias("comp")), "neardup-comp")
+def shingled(docs: DataFrame, alive: DataFrame, repeated: bool, width: int) -> DataFrame:
+    """v, n, sig, hashes of the rows that stand for the classes ``alive`` (doc_id, th, v, n, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                got = [shingle_hashes(words_of(t), width).tobytes() for t in utf8(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(got, pa.binary())], ["v", "n", "sig", "hashes"])
+
+    few = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS // 4 else alive
+    found = _hashed(docs).join(few, ["doc_id", "th"]).select("v", "n", "sig", "text")
+    found = found.mapInArrow(run, "v long, n long, sig array<long>, hashes binary")
+    return found.dropDuplicates(["v"]) if repeated else found
+
+
+_NODE = ("v", "comp", "n", "sig", "hashes")
+
+
+def _parts(sizes: DataFrame, *key: str) -> DataFrame:
+    """``parts``: blocks that the classes of a key (count ``members``, shingles ``mass``) need."""
+    return sizes.select(*key, F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("mass") / BLOCK_HASHES)).alias("parts"))
+
+
+def star_links(pairs: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: components joined by links of ``pairs`` (x, y, nx; a written table). A leader y comes once to each block of its members."""
+    sizes = durable(_parts(pairs.groupBy("y").agg(F.count("*").alias("members"), F.sum("nx").alias("mass")), "y"), "neardup-leads")
+    nodes = sets.join(comp, "v")
+    few = _few(sizes)
+    leads = nodes.join(few, nodes.v == few.y).select("y", F.struct(*_NODE).alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    slots = _leader_slices(pairs, sizes)
+    members = nodes.join(slots, nodes.v == slots.x).select("y", "part", F.struct(*_NODE).alias("node"))
+    blocks = members.groupBy("y", "part").agg(F.collect_list("node").alias("right"))
+    return block_links(blocks.join(leads, ["y", "part"]).select(F.array("lead").alias("left"), "right", F.lit(False).alias("same")))
+
+
+def _leader_slices(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """x, y, part. Leaders of one block need no join; the others' table is small beside the pairs."""
+    large = durable(sizes.filter("parts > 1"), "neardup-large")
+    small = _few(large)
+    placed = pairs.select("x", "y").join(small, "y", "left")
+    return placed.select("x", "y", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+
+
+def mixed_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: components joined by links among the members (key, v, comp) of mixed keys."""
+    size = durable(open_.groupBy("key").agg(F.count("*").alias("members")), "neardup-mixed-sizes")
+    home = open_.join(size, "key").groupBy("v").agg(F.max(F.struct("members", "key"))["key"].alias("home"), F.min("comp").alias("comp"))
+    home = durable(home.join(sets.select("v", "n"), "v"), "neardup-homes")
+    own = home.groupBy("home", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
+    own = durable(own.withColumn("alone", F.when((F.col("members") >= BLOCK) | (F.col("mass") >= BLOCK_HASHES), F.col("comp"))), "neardup-own")
+    parts = durable(_parts(own.groupBy("home", "alone").agg(F.sum("members").alias("members"), F.sum("mass").alias("mass")), "home", "alone"), "neardup-parts")
+    group = own.select("home", "comp", "alone").join(parts.withColumnsRenamed({"home": "h", "alone": "a"}), (F.col("home") == F.col("h")) & F.col("alone").eqNullSafe(F.col("a"))).select("home", "comp", "alone", "parts")
+    group = durable(group, "neardup-groups")
+    placed = home.join(_few(group), ["home", "comp"]).select("v", "comp", F.xxhash64("home", "alone", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("block"))
+    placed = durable(placed, "neardup-placed")
+    blocks = sets.join(placed, "v").groupBy("block").agg(F.collect_list(F.struct(*_NODE)).alias("nodes"))
+    blocks = durable(blocks, "neardup-blocks")
+    seen = open_.select("key", "v").join(placed, "v").groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    seen = durable(seen, "neardup-seen")
+    one, other = seen.withColumnsRenamed({"block": "p"}), seen.withColumnsRenamed({"block": "q", "lo": "lo2", "hi": "hi2"})
+    # a key whose members lie in one block needs that block only
+    met = one.join(other, "key").filter("p <= q and not (lo = hi and lo2 = hi2 and lo = lo2)").select("p", "q").distinct()
+    met = durable(met, "neardup-block-pairs")
+    left, right = blocks.withColumnsRenamed({"block": "p", "nodes": "left"}), blocks.withColumnsRenamed({"block": "q", "nodes": "right"})
+    return block_links(met.join(left, "p").join(right, "q").select("left", "right", (F.col("p") == F.col("q")).alias("same")))
+
+
+def joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comp`` (v, comp) with the components of ``edges`` (a, b; a written table) merged."""
+    if edges.isEmpty():
+        return comp
+    root = _few(connected(edges).withColumnsRenamed({"v": "was"}))
+    return durable(comp.join(root, comp.comp == root.was, "left").select("v", F.coalesce("l", "comp").alias("comp")), "neardup-comp")
 
 
 def components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per input row; shingles of ``width`` words."""
-    sigs = durable(signatures(docs, width), "neardup-sigs")
-    nodes = sigs.filter("n_shingles > 0 and doc_id is not null")
-    copies = durable(nodes.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "neardup-copies")
-    member = durable(
-        nodes.join(copies, "seq", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *(F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col(c)).alias(c) for c in ("sig", "bands"))),
-        "neardup-classes",
-    )
-    reps = member.filter("bands is not null").dropDuplicates(["rep"])
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    shared = durable(keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key"), "neardup-keys")
-    inside = durable(keyed.join(shared, "key"), "neardup-keyed")
-    alive = durable(inside.select("rep").distinct(), "neardup-candidates")
-    few = _few(alive)
-    sig = member.filter("bands is not null").select("rep", F.col("n_shingles").alias("n"), "sig").join(few, "rep", "left_semi").dropDuplicates(["rep"])
-    keyed = durable(inside.join(sig, "rep").select("key", "rep", "n", "sig"), "neardup-members")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    texts = durable(texts.dropDuplicates(["doc_id"]) if member.filter("bands is not null").groupBy("rep").count().filter("count > 1").limit(1).count() else texts, "neardup-texts")
-    lead = durable(keyed.groupBy("key").agg(F.min("rep").alias("y")), "neardup-leaders")
-    met = durable(keyed.join(lead, "key").filter("rep <> y").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx"), "y").dropDuplicates(["x", "y"]), "neardup-met")
-    ends = durable(keyed.join(lead, (keyed.key == lead.key) & (F.col("rep") == F.col("y"))).select("y", F.col("n").alias("ny"), F.col("sig").alias("sy")).dropDuplicates(["y"]), "neardup-ends")
-    may = (100 * F.least("nx", "ny") >= THRESHOLD_PERCENT * F.greatest("nx", "ny")) & (estimate("sx", "sy") >= ESTIMATE_FLOOR)
-    pairs = durable(met.join(ends, "y").filter(may).select("x", "y"), "neardup-pairs")
-    comp = alive.select("rep", F.col("rep").alias("comp"))
-    links = durable(confirmed(pairs, texts, width).filter("linked").select("x", "y"), "neardup-links")
-    comp = joined(comp, links)
-    now = durable(keyed.join(comp, "rep"), "neardup-now")
-    mixed = durable(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "neardup-mixed")
-    if not mixed.isEmpty():
-        open_ = durable(now.join(mixed, "key"), "neardup-open")
-        more = durable(region_links(open_, texts, width).distinct(), "neardup-more")
-        more = durable(confirmed(more, texts, width).filter("linked").select("x", "y"), "neardup-more-links")
-        comp = joined(comp, more)
-    final = member.select("doc_id", "n_shingles", "rep").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    rest = sigs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return final.union(rest)
+    """doc_id, th, n_shingles, node, component_id, one row per input row; shingles of ``width`` words. Rows of a component share ``node``."""
+    with scratch(docs.sparkSession):
+        sigs = durable(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "neardup-sigs")
+        nodes = sigs.filter("n_shingles > 0 and doc_id is not null")
+        copies = nodes.groupBy("seq").agg(F.min("row").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
+        copies = durable(copies, "neardup-copies")
+        repeated = not copies.isEmpty()
+        whole = nodes.join(_few(copies), "seq", "left").select("row", "doc_id", "th", "n_shingles", F.coalesce("first", "row").alias("v"), F.coalesce("least", "doc_id").alias("least"), "sig", "bands")
+        member = durable(whole.select("row", "doc_id", "th", "n_shingles", "v", "least", *(F.when(F.col("v") == F.col("row"), F.col(c)).alias(c) for c in ("sig", "bands"))), "neardup-classes")
+        reps = member.filter("bands is not null")
+        keyed = reps.select("v", F.explode("bands").alias("key"))
+        shared = durable(keyed.groupBy("key").agg(F.min("v").alias("y"), F.max("v").alias("hi")).filter("y < hi").select("key", "y"), "neardup-keys")
+        inside = durable(keyed.join(shared, "key").select("key", "v", "y"), "neardup-keyed")
+        alive = inside.select("v").distinct()
+        alive = durable(reps.select("doc_id", "th", "v", F.col("n_shingles").alias("n"), "sig").join(alive, "v"), "neardup-alive")
+        sets = durable(shingled(docs, alive, repeated, width), "neardup-sets")
+        met = inside.filter("v <> y").select(F.col("v").alias("x"), "y").distinct().join(alive.select(F.col("v").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), "x")
+        met = durable(met, "neardup-met")
+        ends = alive.select(F.col("v").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy")).join(_few(durable(met.select("y").distinct(), "neardup-ends")), "y", "left_semi")
+        may = (100 * F.least("nx", "ny") >= THRESHOLD_PERCENT * F.greatest("nx", "ny")) & (F.col("like") >= ESTIMATE_FLOOR)
+        pairs = durable(met.join(ends, "y").withColumn("like", estimate("sx", "sy")).filter(may).select("x", "y", "nx", "like"), "neardup-pairs")
+        comp = alive.select("v", F.col("v").alias("comp"))
+        # each class meets the leader it resembles most, then those still elsewhere
+        nearest = durable(pairs.groupBy("x").agg(F.max(F.struct("like", -F.col("y"), "y", "nx")).alias("b")).select("x", "b.y", "b.nx"), "neardup-nearest")
+        comp = joined(comp, durable(star_links(nearest, comp, sets), "neardup-links"))
+        apart = pairs.join(comp.select(F.col("v").alias("x"), F.col("comp").alias("cx")), "x").join(comp.select(F.col("v").alias("y"), F.col("comp").alias("cy")), "y").filter("cx <> cy")
+        apart = durable(apart.select("x", "y", "nx"), "neardup-apart")
+        comp = joined(comp, durable(star_links(apart, comp, sets), "neardup-links"))
+        now = durable(inside.select("key", "v").join(comp, "v"), "neardup-now")
+        mixed = durable(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "neardup-mixed")
+        if not mixed.isEmpty():
+            open_ = durable(now.join(mixed, "key"), "neardup-open")
+            comp = joined(comp, durable(mixed_links(open_, sets), "neardup-more-links"))
+        placed = member.select("doc_id", "th", "n_shingles", "v", "least").join(comp, "v", "left").withColumn("node", F.coalesce("comp", "v"))
+        placed = durable(placed.select("doc_id", "th", "n_shingles", "node", "least"), "neardup-placed-rows")
+        least = placed.groupBy("node").agg(F.min("least").alias("component_id"), F.count("*").alias("c")).filter("c > 1").drop("c")
+        final = placed.join(_few(durable(least, "neardup-least")), "node", "left").select("doc_id", "th", "n_shingles", "node", F.coalesce("component_id", "least").alias("component_id"))
+        rest = sigs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "th", "n_shingles", F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"))
+        return durable(final.union(rest), "neardup-components", keep=True)
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _not_in(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are (left_semi) or are not (left_anti) among ``rows`` (doc_id, th)."""
+    few = _few(rows)
+    return docs.join(few, (docs["doc_id"].cast("long") == few["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == few["th"]), how)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays, once."""
-    found = durable(components(docs.select("doc_id", "text"), STAGE_WIDTH), "neardup-found")
-    gone = durable(found.filter("doc_id <> component_id").select("doc_id").distinct(), "neardup-gone")
-    kept = docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = durable(found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "neardup-again")
-    if again.isEmpty():
+    """Pipeline stage: of each group of near-duplicates one document with the smallest doc_id stays, once; texts without words and null doc_ids stay."""
+    found = components(docs.select("doc_id", "text"), STAGE_WIDTH)
+    gone = durable(found.filter("doc_id <> component_id").select("doc_id", "th").distinct(), "neardup-gone")
+    first = found.filter("doc_id = component_id and node is not null")
+    twice = durable(first.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th")).alias("m")).filter("c > 1").select("node", "m.doc_id", "m.th"), "neardup-twice")
+    kept = _not_in(docs, gone, "left_anti")
+    if twice.isEmpty():
         return kept
-    twice = _few(again)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    # rows that share doc_id and component: one stays, the last in the order of its values as JSON
+    again = durable(first.join(_few(twice.select("node")), "node").select("doc_id", "th", "node").distinct(), "neardup-again")
+    few = _few(again.withColumnsRenamed({"doc_id": "_again_id", "th": "_again_th", "node": "_again_node"}))
+    row, on = F.struct(*(docs[c] for c in docs.columns)), (docs["doc_id"].cast("long") == few["_again_id"]) & (F.xxhash64(docs["text"].cast("string")) == few["_again_th"])
+    one = docs.join(few, on).groupBy(few["_again_node"]).agg(F.max_by(row, F.to_json(row)).alias("row"))
+    return _not_in(kept, again.select("doc_id", "th"), "left_anti").union(one.select("row.*"))
 
 
 #: Word sets joined through an inverted index, links confirmed on full sets, reachability by recursion.

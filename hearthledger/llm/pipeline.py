@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, neardup, packing, pii, quality
-from .common import durable, table
+from .common import durable, scratch, table
 
 STAGES = [
     ("quality rules", quality.stage),
@@ -20,8 +20,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = durable(docs, f"pipeline-{k}-{name.replace(' ', '-')}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):  # a stage's own tables go when its result is written
+            docs = durable(stage(spark, docs, sf_dir), f"pipeline-{k}-{name.replace(' ', '-')}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

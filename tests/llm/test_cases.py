@@ -151,19 +151,28 @@ def test_cuts_are_minimax(spark):
     assert needed(found.capacity) <= 7 and (found.capacity == max(sizes) or needed(found.capacity - 1) > 7)
 
 
-def brute_components(texts):
-    sets = {d: neardup.shingle_set((t or "").encode()) for d, t in texts}
-    top = {d: d for d in sets}
+def shingle_set(text, width=2):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_components(texts, width=2):
+    """component of each row, rows being nodes."""
+    sets, top = [shingle_set(t, width) for _, t in texts], list(range(len(texts)))
     changed = True
     while changed:
         changed = False
-        for a in sets:
-            for b in sets:
+        for a in range(len(sets)):
+            for b in range(a):
                 i = len(sets[a] & sets[b])
-                if a < b and sets[a] and sets[b] and 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i) and top[a] != top[b]:
+                if i and 100 * i >= 80 * len(sets[a] | sets[b]) and top[a] != top[b]:
                     top[a] = top[b] = min(top[a], top[b])
                     changed = True
-    return top
+    least = {}
+    for (d, _), c in zip(texts, top, strict=True):
+        if d is not None:
+            least[c] = min(d, least.get(c, d))
+    return [None if d is None else least[c] if s else d for (d, _), c, s in zip(texts, top, sets, strict=True)]
 
 
 def test_neardup_by_brute_force(spark, none):
@@ -177,18 +186,59 @@ def test_neardup_by_brute_force(spark, none):
             for i in rng.choice(60, rng.integers(0, 7), replace=False):
                 w[i] = str(rng.choice(words))
             texts.append((len(texts), " ".join(w)))
-    texts += [(900, None), (901, ""), (902, "solo"), (903, "SOLO"), (904, "solo  ")]
-    got = {r.doc_id: r.component_id for r in neardup.components(common.durable(spark.createDataFrame(texts, "doc_id long, text string"), "test-near")).collect()}
-    assert got == brute_components(texts)
+    texts += [(900, None), (901, ""), (902, "solo"), (903, "SOLO"), (904, "solo  "), (None, "solo"), (905, LONG), (906, LONG + " more"), (907, "É é"), (908, "é é")]
+    texts += [(5, texts[40][1]), (5, texts[5][1]), (5, texts[5][1])]  # repeated ids, with another text and with the same
+    for width in (2, 5):
+        docs = common.durable(spark.createDataFrame([(d, t, 1, 2) for d, t in texts], "doc_id long, text string, comp int, key int"), "test-near")
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0) for r in neardup.components(docs, width).collect())
+        assert got == sorted((d is None, d or 0, c or 0) for (d, _), c in zip(texts, brute_components(texts, width), strict=True))
     assert neardup.components(none.select("doc_id", "text")).count() == 0
 
 
-def test_chunks_find_each_link():
+def test_neardup_family_below_the_threshold(spark, monkeypatch):
+    """Many members of one key in many components: blocks, alone and mixed, give what brute force gives."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_HASHES", 1000)
+    rng = np.random.default_rng(8)
+    base, texts = [f"b{i}" for i in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for k in rng.choice(60, int(rng.integers(2, 8)), replace=False):
+            w[k] = f"x{rng.integers(1000)}"
+        texts.append((i, " ".join(w)))
+    docs = common.durable(spark.createDataFrame(texts, "doc_id long, text string"), "test-family")
+    got = {r.doc_id: r.component_id for r in neardup.components(docs).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(150)] == want and 10 < len(set(want)) < 150
+
+
+def test_neardup_chain_ships_in_proportion(spark, monkeypatch):
+    """A chain of documents, each near the next only: block pairs grow with the chain, not with its square."""
+    shipped = []
+    whole = neardup.block_links
+    monkeypatch.setattr(neardup, "block_links", lambda met: (shipped.append(met.selectExpr("sum(size(left) + size(right)) AS n").first().n or 0), whole(met))[1])
+    counts = []
+    for n in (2000, 4000):
+        shipped.clear()
+        docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(id, id + 59), i -> concat('w', i))) AS text")
+        found = neardup.components(common.durable(docs, "test-chain"))
+        assert found.filter("component_id <> 0").count() == 0
+        counts.append(sum(shipped))
+    assert counts[1] < 2.5 * counts[0]
+
+
+def test_blocks_find_a_spanning_forest():
+    import pyarrow as pa
+
     rows = []
-    for i, t in enumerate(["a b c d e f g h i j k l", "a b c d e f g h i j k m", "z y x w v u t s r q p o"]):
+    for i, t in enumerate(["a b c d e f g h i j k l", "a b c d e f g h i j k m", "z y x w v u t s r q p o", "a b c d e f g h i j k l"]):
         h = neardup.shingle_hashes(neardup.words_of(t.encode()))
-        rows.append({"rep": i, "comp": i, "n": len(h), "sig": neardup.signature(h)[0], "hashes": h.tobytes()})
-    assert neardup.chunk_links(rows, rows, True) == [(0, 1)]
+        rows.append({"v": i, "comp": i, "n": len(h), "sig": neardup.signature(h)[0], "hashes": h.tobytes()})
+    kind = pa.struct([("v", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int64())), ("hashes", pa.binary())])
+    block = pa.array(rows, kind)
+    assert neardup.spanning(block, block, True) == [(0, 1), (0, 3)]
+    assert neardup.spanning(block.slice(2, 1), block, False) == []
+    assert neardup.spanning(block.slice(1, 1), block.slice(2, 2), False) == [(1, 3)]
 
 
 def test_language(docs, none):
@@ -305,20 +355,10 @@ def test_neardup_stage_by_brute_force(spark):
     page = [f"p{i}" for i in range(200)]  # ten spread edits: 0.82 in two-word shingles, 0.6 in five-word ones
     texts += [(800, " ".join(page)), (801, " ".join("new" + w if i % 20 == 10 else w for i, w in enumerate(page)))]
     texts += [(900, None), (901, ""), (902, "a b c"), (903, "A b  C"), (904, "a b d"), (905, "a b c d e"), (906, "a b c d e f")]
-    sets = {}
-    for d, t in texts:
-        w = (t or "").lower().split()
-        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    top = {d: d for d in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
-                    top[a] = top[b] = min(top[a], top[b])
+    top = dict(zip([d for d, _ in texts], brute_components(texts, 5), strict=True))
     docs = common.durable(spark.createDataFrame(texts, "doc_id long, text string"), "test-near-stage")
     kept = sorted(r.doc_id for r in neardup.stage(spark, docs, "").collect())
-    assert kept == [d for d in sets if top[d] == d] and {800, 801, 904, 906} <= set(kept) and 903 not in kept
+    assert kept == [d for d in top if top[d] == d] and {800, 801, 904, 906} <= set(kept) and 903 not in kept
 
 
 @pytest.mark.parametrize("mark", ["<![foo bar]>", "<![ x]>", "<![1]>", "<![>"])
