@@ -7,7 +7,8 @@ positions of windows drawn from at most ``max_train`` labelled documents. A whol
 window; windows of many documents advance together, so that every step is a few small matrix products.
 
 Training documents: ``crc32(doc_id as text) % 5 <> 0`` and a language; of these a hashed share whose expected
-number is below ``max_train`` (a documented bound, the only sample here). Inputs of a prediction are the
+number is below ``max_train`` (a documented bound, the only sample here); texts shorter than a training
+window are repeated until they fill it. Inputs of a prediction are the
 bytes of the text, nothing else.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled document
@@ -17,11 +18,11 @@ order; repeated rows are predicted each; other columns are ignored; an empty tab
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ BATCH = 192
 LANES = 2048
 FOLDS = 5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of the Unicode categories L.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(folds: int = FOLDS, fold: int = 0) -> Column:
@@ -104,8 +106,8 @@ class Network:
             out[t] = state = new
         return out, kept
 
-    def swift(self, windows: np.ndarray) -> np.ndarray:
-        """The states of ``states`` as (position, direction, unit, lane), written in place with a rational tanh."""
+    def swift(self, windows: np.ndarray, backwards: np.ndarray) -> np.ndarray:
+        """The states of ``states`` over windows and their reverses as (position, direction, unit, lane), written in place with a rational tanh."""
         lanes, length = windows.shape
         h, half = self.h, np.float32(0.5)
         # the gates' arguments are halved once, in the weights: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
@@ -113,7 +115,7 @@ class Network:
         x = np.ascontiguousarray((self.p["x"] * scale).transpose(0, 2, 1), np.float32)
         u = np.ascontiguousarray((self.p["u"] * scale).transpose(0, 2, 1), np.float32)
         b = np.ascontiguousarray(self.p["b"].transpose(0, 2, 1), np.float32)
-        both = np.stack([windows.T, windows.T[::-1]], axis=1).astype(np.intp)
+        both = np.stack([windows.T, backwards.T], axis=1).astype(np.intp)
         out = np.empty((length, 2, h, lanes), np.float32)
         got, rec = np.empty((2, 3 * h, lanes), np.float32), np.empty((2, 3 * h, lanes), np.float32)
         gates, n = np.empty((2, 2 * h, lanes), np.float32), np.empty((2, h, lanes), np.float32)
@@ -143,10 +145,17 @@ class Network:
         joined = np.concatenate([states[:, 0], states[::-1, 1]], axis=-1)
         return joined @ self.p["o"] + self.p["c"]
 
-    def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        """(position, language, lane)."""
-        states = self.swift(windows)
-        e = np.matmul(np.ascontiguousarray(self.p["o"].T), np.concatenate([states[:, 0], states[::-1, 1]], axis=1))
+    def probabilities(self, windows: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """(position, language, lane). With ``sizes``, only the first bytes of a window count: both directions read them alone."""
+        length = windows.shape[1]
+        if sizes is None:
+            states = self.swift(windows, windows[:, ::-1])
+            other = states[::-1, 1]
+        else:
+            mirror = np.maximum(sizes[:, None] - 1 - np.arange(length), 0)
+            states = self.swift(windows, np.take_along_axis(windows, mirror, axis=1))
+            other = np.take_along_axis(states[:, 1], mirror.T[:, None, :], axis=0)
+        e = np.matmul(np.ascontiguousarray(self.p["o"].T), np.concatenate([states[:, 0], other], axis=1))
         e += self.p["c"][:, None]
         e -= e.max(axis=1, keepdims=True)
         np.exp(e, out=e)
@@ -227,7 +236,7 @@ class Network:
             where = begin[some] + full[some] * WINDOW
             inside = np.arange(length) < rest[some, None]
             cells = np.where(inside, raw[np.minimum(where[:, None] + np.arange(length), len(raw) - 1)], 0)
-            got = self.probabilities(cells)
+            got = self.probabilities(cells, rest[some])
             total[some] += (got * inside.T[:, None, :]).sum(axis=0).T
         return total / np.maximum(1, sizes)[:, None]
 
@@ -242,9 +251,8 @@ def training_windows(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.nd
     windows, labels = [], []
     for r in hashed_sample(labelled.select("doc_id", "text", "lang"), max_train).select("lang", F.array(*starts).alias("w")).collect():
         for w in map(str.encode, r.w):
-            if len(w) >= TRAIN_WINDOW:
-                windows.append(w[:TRAIN_WINDOW])
-                labels.append(number[r.lang])
+            windows.append((w * -(-TRAIN_WINDOW // len(w)))[:TRAIN_WINDOW])  # a shorter text is repeated until it fills the window
+            labels.append(number[r.lang])
     return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, TRAIN_WINDOW), np.asarray(labels, np.int64), languages
 
 
