@@ -22,6 +22,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -49,19 +50,22 @@ _NAME_PART = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "path", "names", "linked")
+    __slots__ = ("text", "own", "tags", "names", "linked")
 
-    def __init__(self, path: tuple[str, ...], names: tuple[str, ...]):
+    def __init__(self, own: str, tags: tuple[str, ...], names: tuple[str, ...]):
         self.text: list[str] = []
-        self.path, self.names, self.linked = path, names, 0
+        self.own, self.tags, self.names, self.linked = own, tags, names, 0
 
 
 class Leaves(HTMLParser):
-    """Leaf blocks of a page in order."""
+    """Leaf blocks of a page in order. Nesting has no bound: what a block needs of its ancestors is kept in counts."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.inside: list[str] = []  # the block elements of the stack
+        self.tags, self.names = Counter(), Counter()  # of open elements
+        self.known: tuple[tuple[str, ...], tuple[str, ...]] | None = None
         self.silent = 0
         self.blocks: list[tuple[str, Block]] = []
         self.open: Block | None = None
@@ -73,10 +77,27 @@ class Leaves(HTMLParser):
                 self.blocks.append((text, self.open))
             self.open = None
 
-    def _pop(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
-            self.silent -= tag in SILENT
-        del self.stack[at:]
+    def _push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.stack.append((tag, names))
+        self.tags[tag] += 1
+        self.names.update(names)
+        self.silent += tag in SILENT
+        if tag in BLOCK:
+            self.inside.append(tag)
+        self.known = None
+
+    def _pop_through(self, tag: str) -> None:
+        """Closes the innermost open ``tag`` and all that is inside it."""
+        found = not self.tags[tag]
+        while not found:
+            last, names = self.stack.pop()
+            found = last == tag
+            self.tags[last] -= 1
+            self.names.subtract(names)
+            self.silent -= last in SILENT
+            if last in BLOCK:
+                self.inside.pop()
+            self.known = None
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -86,18 +107,11 @@ class Leaves(HTMLParser):
         if tag in VOID:
             return
         if tag == "body":  # whatever was left open before belongs to the head
-            self._pop(next((i for i, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
-        if tag in _SELF_CLOSING:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
-                    self._pop(i)
-                    break
-                if self.stack[i][0] in BLOCK:
-                    break
-        if len(self.stack) < 512:  # deeper nesting adds nothing to a block's description
-            named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop"))
-            self.stack.append((tag, tuple(_NAME_PART.findall(named.lower()))))
-            self.silent += tag in SILENT
+            self._pop_through("head")
+        if tag in _SELF_CLOSING and self.inside and self.inside[-1] == tag:
+            self._pop_through(tag)
+        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop"))
+        self._push(tag, tuple(_NAME_PART.findall(named.lower())))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -107,10 +121,7 @@ class Leaves(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self._close()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                break
+        self._pop_through(tag)
 
     def parse_marked_section(self, i, report=1):
         try:
@@ -125,10 +136,11 @@ class Leaves(HTMLParser):
         if self.open is None:
             if data.isspace():
                 return
-            blocks = [(t, n) for t, n in self.stack if t in BLOCK]
-            self.open = Block(tuple(t for t, _ in blocks), tuple(x for _, n in self.stack for x in n))
+            if self.known is None:
+                self.known = tuple(sorted(t for t, n in self.tags.items() if n and t in BLOCK)), tuple(sorted(x for x, n in self.names.items() if n))
+            self.open = Block(self.inside[-1] if self.inside else "none", *self.known)
         self.open.text.append(data)
-        if any(t == "a" for t, _ in self.stack):
+        if self.tags["a"]:
             self.open.linked += len(data)
 
 
@@ -144,10 +156,9 @@ def described(text: str, b: Block) -> list[str]:
     """Features of a block: ancestors, names, shape."""
     words = text.count(" ") + 1
     share = 4 * b.linked // max(1, len(text))
-    own = b.path[-1] if b.path else "none"
     return [
-        "bias", f"own={own}", *(f"in={t}" for t in set(b.path)), *(f"name={n}" for n in set(b.names)),
-        f"link={min(4, share)}", f"words={min(6, words.bit_length())}", f"stop={text[-1] in '.!?:;,'}", f"own={own} link={min(4, share)}",
+        "bias", f"own={b.own}", *(f"in={t}" for t in b.tags), *(f"name={n}" for n in b.names),
+        f"link={min(4, share)}", f"words={min(6, words.bit_length())}", f"stop={text[-1] in '.!?:;,'}", f"own={b.own} link={min(4, share)}",
         f"rights={'©' in text or 'copyright' in text.lower()}",
     ]
 
