@@ -1,31 +1,31 @@
 """Exact top-k search (operator 8): columnar branch-and-bound over integer vectors.
 
-Every component x becomes floor(256 * x); the score is the integer inner product. Queries are collected
-in blocks of at most QUERY_BLOCK vectors (a fixed number of bytes, broadcast); each block meets every row
-once, in the tasks that read them, without a join. A task lays its candidates out column by column
-(vertical) in chunks and adds up scores dimension block by dimension block, the blocks with the
-largest query mass first. After each block, the mass that is left bounds what a candidate can still gain
-(Cauchy-Schwarz over the remaining dimensions); candidates that cannot reach the query's k-th best score
-so far are dropped and the survivors compacted. Only k rows per query and task leave it.
+Every component x becomes floor(256 * x); the score is the integer inner product. Queries form blocks of at
+most QUERY_BLOCK vectors, candidates chunks of some CHUNK vectors, both as rows of a table; nothing passes
+through the driver. Chunks go in lanes; every lane of chunks meets every block of queries by a join on
+(dimensions, block, lane), so that a hot block is spread over its lanes. A task lays a chunk out column by
+column (vertical) and adds up scores dimension block by dimension block, the blocks with the largest query
+mass first. After each block, the mass that is left bounds what a candidate can still gain (Cauchy-Schwarz
+over the remaining dimensions); candidates that cannot reach the query's k-th best score so far are dropped
+and the survivors compacted. A lane's chunks follow each other, so the k-th best scores of earlier ones bound
+the later; only k rows per query and lane leave a task.
 
 Ties go to the smaller vec_id: a candidate is dropped only when its bound is strictly below the k-th score.
 Scores are exact: sums of magnitudes below 2**53 go through double-precision products, larger ones through
-Python integers (a score outside 64 bits fails the run rather than being wrong).
+Python integers (a score outside 64 bits among the best fails the run rather than being wrong).
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no part, neither
-as query nor as candidate; vectors of another length than the first query's take no part with it; rows that
-repeat a vec_id are candidates each, never for their own vec_id; with fewer than k candidates all are
-returned; an empty table gives an empty result; other columns are ignored.
+as query nor as candidate; a query meets the vectors of its own number of dimensions; rows that repeat a
+vec_id are candidates each, never for their own vec_id, and queries each; with fewer than k candidates all
+are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +34,12 @@ from .common import durable, table
 
 K = 5
 QUERY_EVERY = 50
+#: Queries and candidates that one task row holds; a worker multiplies QUERY_STEP queries at a time.
 QUERY_BLOCK = 4096
-CHUNK = 8192
+CHUNK = 2048
+QUERY_STEP = 512
+#: Chunks that follow each other in one lane at most.
+LANE = 64
 DIMENSIONS = 16
 SCALE = 256
 _EXACT = 2.0**53
@@ -43,8 +47,10 @@ _EXACT = 2.0**53
 
 def usable(rows: DataFrame) -> DataFrame:
     """vec_id and v (array<double> of integers) of the vectors that take part."""
-    x = F.transform("embedding", lambda e: F.floor(e.cast("double") * SCALE).cast("double"))
-    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda e: F.coalesce(~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")), F.lit(False)))
+    # doubles from 2**52 on are whole; floor itself gives a long and would saturate
+    scaled = lambda e: e.cast("double") * SCALE
+    x = F.transform("embedding", lambda e: F.when(F.abs(scaled(e)) < 2.0**52, F.floor(scaled(e)).cast("double")).otherwise(scaled(e)))
+    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda e: F.coalesce(~F.isnan(e) & (F.abs(scaled(e)) < float("inf")), F.lit(False)))
     return rows.filter(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), x.alias("v"))
 
 
@@ -111,48 +117,70 @@ def _large(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids:
                 best.add(k, np.asarray([sum(a * b for a, b in zip(v, c, strict=True))], object), np.asarray([i]))
 
 
+def _grouped(rows: DataFrame, size: int, name: str, order: DataFrame) -> DataFrame:
+    """dims, number, vectors: rows (vec_id, v) in hashed groups of some ``size``; ``order`` (dims, n) counts them."""
+    numbered = rows.withColumn("dims", F.size("v")).join(F.broadcast(order), "dims")  # one row for each number of dimensions
+    slot = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / size)).alias(name)
+    return numbered.select("dims", slot, F.struct("vec_id", "v").alias("one")).groupBy("dims", name).agg(F.collect_list("one").alias(f"{name}_rows"))
+
+
 def topk(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of each query, in blocks of queries."""
+    """query_id, rank, vec_id, score: the k best ``rows`` of each of ``queries`` (vec_id, v)."""
     spark = rows.sparkSession
-    asked = durable(queries.withColumn("_block", F.floor((F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")) - 1) / (QUERY_BLOCK // 64))), "topk-queries")
-    blocks = [r[0] for r in asked.select("_block").distinct().orderBy("_block").collect()]
-    found = [_block(rows, asked.filter(F.col("_block") == b).toArrow(), k).withColumn("_block", F.lit(b)) for b in blocks]
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = reduce(DataFrame.union, found)
-    rank = F.row_number().over(W.partitionBy("query_id", "_block", "_n").orderBy(F.desc("score"), "vec_id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _block(rows: DataFrame, asked: pa.Table, k: int) -> DataFrame:
-    vectors = asked["v"].combine_chunks()
-    size = len(vectors[0])
-    same = np.asarray([len(v) == size for v in vectors])
-    ids = asked["vec_id"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast((np.asarray([v.as_py() for v, s in zip(vectors, same, strict=True) if s], np.float64), ids[same]))
+    # the number of dimensions is a property of the model: a table of one row or a few
+    counts = lambda df, least: durable(df.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")), least)
+    chunks, blocks = counts(rows, "topk-counts"), counts(queries, "topk-query-counts")
+    wide = F.least(F.ceil(F.col("n") / CHUNK), F.greatest(F.ceil(F.col("n") / (CHUNK * LANE)), F.lit(spark.sparkContext.defaultParallelism)))
+    lanes = chunks.select("dims", wide.alias("lanes"))
+    parts = blocks.select("dims", F.ceil(F.col("n") / QUERY_BLOCK).alias("blocks"))
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asked = durable(_grouped(queries, QUERY_BLOCK, "block", blocks), "topk-blocks")
+    asked = asked.join(F.broadcast(lanes), "dims").select("dims", "block", "block_rows", up_to("lanes").alias("lane"))
+    given = _grouped(rows, CHUNK, "chunk", chunks).join(F.broadcast(lanes), "dims").join(F.broadcast(parts), "dims")
+    given = given.select("dims", "chunk", "chunk_rows", F.pmod("chunk", "lanes").alias("lane"), up_to("blocks").alias("block"))
+    met = asked.join(given, ["dims", "block", "lane"]).sortWithinPartitions("dims", "block", "lane", "chunk")
+    found = _searched(met.select("dims", "block", "lane", "block_rows", "chunk_rows"), k)
+    rank = F.row_number().over(W.partitionBy("query_id", "dims", "block", "n").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _vectors(column: pa.ListArray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    one = column[at].values
+    v = one.field("v").slice(one.offset, len(one)) if len(one.field("v")) != len(one) else one.field("v")
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(one), -1), one.field("vec_id").to_numpy(zero_copy_only=False)
+
+
+def _searched(met: DataFrame, k: int) -> DataFrame:
+    def rows_of(key: tuple, ids: np.ndarray, at: int, best: Best) -> pa.RecordBatch:
+        n = [j for j in range(len(best.ids)) for _ in best.ids[j]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * len(n), pa.int32()), pa.array([key[1]] * len(n), pa.int64()), pa.array([at + j for j in n], pa.int32()), pa.array([int(ids[at + j]) for j in n], pa.int64()),
+             pa.array([int(i) for x in best.ids for i in x], pa.int64()), pa.array([int(s) for x in best.scores for s in x], pa.int64())],
+            ["dims", "block", "n", "query_id", "vec_id", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, query_ids = shared.value
-        best, width = Best(len(queries), k), queries.shape[1]
-        mass = np.sqrt((queries**2).sum(axis=1).max(initial=0))
+        key, queries, ids, bests = None, None, None, []
         for b in batches:
-            lists = b.column(1)
-            fits = np.asarray(pa.compute.list_value_length(lists)) == width
-            b = b.filter(pa.array(fits))
-            for i in range(0, b.num_rows, CHUNK):
-                part = b.slice(i, CHUNK)
-                columns = np.ascontiguousarray(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).T)
-                own = part.column(0).to_numpy()
-                safe = mass * np.sqrt((columns**2).sum(axis=0).max()) < _EXACT
-                (search if safe else _large)(queries, query_ids, columns, own, best)
-        n = [j for j in range(len(queries)) for _ in best.ids[j]]
-        if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(query_ids[j]) for j in n], pa.int64()), pa.array(n, pa.int32()), pa.array([int(i) for x in best.ids for i in x], pa.int64()), pa.array([int(s) for x in best.scores for s in x], pa.int64())],
-                ["query_id", "_n", "vec_id", "score"],
-            )
-
-    return rows.mapInArrow(run, "query_id long, _n int, vec_id long, score long")
+            keys = list(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+            for at, now in enumerate(keys):
+                if now != key:
+                    for i, best in bests:
+                        yield rows_of(key, ids, i, best)
+                    key = now
+                    queries, ids = _vectors(b.column(3), at)
+                    bests = [(i, Best(min(QUERY_STEP, len(ids) - i), k)) for i in range(0, len(ids), QUERY_STEP)]
+                vectors, own = _vectors(b.column(4), at)
+                columns = np.ascontiguousarray(vectors.T)
+                top = np.sqrt((columns**2).sum(axis=0).max())
+                for i, best in bests:
+                    some = queries[i : i + QUERY_STEP]
+                    safe = np.sqrt((some**2).sum(axis=1).max()) * top < _EXACT
+                    (search if safe else _large)(some, ids[i : i + QUERY_STEP], columns, own, best)
+        for i, best in bests:
+            yield rows_of(key, ids, i, best)
+
+    return met.mapInArrow(run, "dims int, block long, n int, query_id long, vec_id long, score long")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
