@@ -41,9 +41,12 @@ from .common import durable, table
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
-SLICES = 256
+#: Pieces of one length are ranked in hashed slices of about so many.
+SLICE_ROWS = 65_536
+#: Rows before each slice are broadcast only up to so many slices; beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
 #: Parts kept in a worker's cache before it is emptied.
-CACHE = 400_000
+CACHE = 150_000
 _SPECIAL = "<|"
 
 
@@ -200,14 +203,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut``, a written table of pieces, with sequence_id and offset."""
     spark = cut.sparkSession
-    sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
-    counts = durable(sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n")), "pack-slices")  # capacity * SLICES rows at most
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    parts = spark.createDataFrame([(n, -(-c // SLICE_ROWS)) for n, c in histogram.items()], "length long, _parts long")
+    sliced = cut.join(F.broadcast(parts), "length").withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts")))
+    counts = durable(sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n")), "pack-slices")  # one row for SLICE_ROWS pieces
     runs = spark.createDataFrame(plan(histogram, capacity), "_length long, _lo long, _hi long, _bin long, _each long, _offset long")
     before = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("length", "_slice", before.alias("_before"))
     order = W.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = sliced.join(F.broadcast(bases), ["length", "_slice"]).withColumn("_rank", F.row_number().over(order) - 1 + F.col("_before"))
+    ranked = sliced.join(F.broadcast(bases) if counts.count() <= BROADCAST_ROWS else bases, ["length", "_slice"]).withColumn("_rank", F.row_number().over(order) - 1 + F.col("_before"))
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     step = F.col("_rank") - F.col("_lo")
     return placed.select(*cut.columns, (F.col("_bin") + F.floor(step / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + F.pmod(step, F.col("_each")) * F.col("length")).cast("long").alias("offset"))
