@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, table
+from .common import WORD, durable, scratch, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -151,38 +151,41 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The copies of rows that share a doc_id, null included, are summed by (doc_id, source, size) and spread
     over these rows, so that every source keeps its words. The rows are numbered within hashed slices.
     """
-    mixed = durable(_mixed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "copies"), "mix-copies")
-    repeated = durable(mixed.groupBy("doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.col("doc_id").alias("_id")), "mix-repeated")
-    taken, once, many = mixed, docs, None
+    with scratch(spark):
+        mixed = durable(_mixed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "copies"), "mix-copies", keep=True)
+    repeated = durable(mixed.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("id")), "mix-repeated")
+    # a struct keeps the names of other columns apart from the working ones
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    own = F.col("row.doc_id")
+    taken, once, many = mixed, rows, None
     if not repeated.isEmpty():
-        rep = F.broadcast(repeated) if _small(repeated, 500_000) else repeated
-        same = lambda df: df["doc_id"].eqNullSafe(rep["_id"])
-        taken, once = mixed.join(rep, same(mixed), "left_anti"), docs.join(rep, same(docs), "left_anti")
-        many = _spread(docs.join(rep, same(docs), "left_semi"), mixed.join(rep, same(mixed), "left_semi"))
-    t = taken.select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_times"))
-    t = F.broadcast(t) if _small(t, 500_000) else t
-    out = once.join(t, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns, "_times")
+        rep = F.broadcast(repeated) if _small(repeated, 200_000) else repeated
+        taken, once = mixed.join(rep, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti"), rows.join(rep, own.eqNullSafe(F.col("id")), "left_anti")
+        many = _spread(rows.join(rep, own.eqNullSafe(F.col("id")), "left_semi"), mixed.join(rep, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"))
+    t = taken.select(F.col("doc_id").alias("id"), F.col("copies").cast("int").alias("times"))
+    t = F.broadcast(t) if _small(t, 200_000) else t
+    out = once.join(t, own.eqNullSafe(F.col("id"))).select("row", "times")
     out = out if many is None else out.unionByName(many)
-    return out.filter("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return out.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
-def _spread(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with ``_times``: of rows alike in doc_id, source and size, the place decides which take a copy more."""
-    key = ["_id", "_source", "_size"]
-    alike = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    alike = durable(alike.withColumn("_slices", F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") / SLICE))), "mix-alike")
+def _spread(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """row and ``times``: of rows alike in doc_id, source and size, the place decides which take a copy more."""
+    key = ["id", "source", "size"]
+    alike = mixed.groupBy(F.col("doc_id").alias("id"), "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    alike = durable(alike.withColumn("slices", F.least(F.lit(MAX_SLICES), F.ceil(F.col("rows") / SLICE))), "mix-alike")
     alike = F.broadcast(alike) if _small(alike) else alike
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("_words", size).withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.join(alike, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    rows = durable(rows.withColumn("_slice", F.pmod(F.xxhash64("_row"), F.col("_slices"))), "mix-alike-rows")
-    sums = rows.groupBy(*key, "_slice").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = durable(sums.select(*(F.col(c).alias(f"{c}2") for c in [*key, "_slice"]), before.alias("_before")), "mix-alike-slices")
+    size = F.regexp_count(F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    placed = rows.select("row", size.alias("words"), F.monotonically_increasing_id().alias("at"))
+    placed = placed.join(alike, F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    placed = durable(placed.withColumn("slice", F.pmod(F.xxhash64("at"), F.col("slices"))), "mix-alike-rows")
+    sums = placed.groupBy(*key, "slice").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = durable(sums.select(*(F.col(c).alias(f"{c}2") for c in [*key, "slice"]), before.alias("before")), "mix-alike-slices")
     sums = F.broadcast(sums) if _small(sums) else sums
-    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy(*key, "_slice").orderBy("_row")))
-    for k, c in enumerate([*key, "_slice"]):
+    placed = placed.withColumn("place", F.row_number().over(W.partitionBy(*key, "slice").orderBy("at")))
+    for k, c in enumerate([*key, "slice"]):
         same = F.col(c).eqNullSafe(F.col(f"{c}2"))
         on = same if k == 0 else on & same
-    times = F.expr("(_copies * (_before + _place)) div _rows - (_copies * (_before + _place - 1)) div _rows").cast("int")
-    return placed.join(sums, on).withColumn("_times", times).select(*docs.columns, "_times")
+    times = F.expr("(copies * (before + place)) div rows - (copies * (before + place - 1)) div rows").cast("int")
+    return placed.join(sums, on).select("row", times.alias("times"))
