@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hearthledger.functions.normalise import let
+
 #: Entities decoded before reading, in this order. Fixed values.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&amp;", "&"))
 
@@ -59,8 +61,101 @@ def repetitive_share(c: Column) -> Column:
     return F.coalesce(F.try_divide(F.length(c) - F.length(F.regexp_replace(c, r"(?s)(.{1,3}?)\1{3,}", "")), F.length(c)), F.lit(0.0))
 
 
+def sanitized(c: Column) -> Column:
+    """Reader marks and escapes out, entities decoded, blanks collapsed; lines stay lines, three and more empty ones become two."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"<\|/?(?:ref|det)\|>", ""), r"\\\\[()]", "")
+    lines = F.regexp_replace(F.regexp_replace(decode_entities(bare), r"[ \t]+", " "), r" ?\n ?", "\n")
+    return F.trim(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+
+
+def scrubbed(values: Column) -> Column:
+    """Strings of an array without tags, entities decoded; one-character values stay, empty ones become null."""
+    return F.transform(values, lambda v: F.nullif(strip_html(v), F.lit("")))
+
+
+def top_run(items: Column) -> Column:
+    """How often the most frequent item of an array occurs: the longest run once sorted, without a shuffle."""
+    first = F.struct(F.lit(None).cast("string").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["at"].eqNullSafe(x), s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("at"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(items), first, step, lambda s: s["best"])
+
+
+def dominant_share(tokens: Column) -> Column:
+    return let(tokens, lambda w: F.try_divide(top_run(w), F.size(w)))
+
+
+def phrase_share(tokens: Column) -> Column:
+    """Share of tokens in the most frequent phrase of two or of three tokens, one of which has three letters; null below sixty tokens."""
+
+    def best(w: Column, worded: Column, k: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.exists(F.slice(worded, i + 1, k), lambda b: b))
+        return F.least(F.lit(1.0), k * top_run(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, k), " "))) / F.size(w))
+
+    # arrays that lambdas read are bound, so that they are computed once
+    worded = lambda w: F.transform(w, lambda t: F.length(F.regexp_replace(t, "[^A-Za-z]", "")) >= 3)
+    return let(tokens, lambda w: F.when(F.size(w) >= 60, let(worded(w), lambda f: F.greatest(best(w, f, 2), best(w, f, 3)))))
+
+
+def boxes(c: Column) -> Column:
+    """Boxes (x1, y1, x2, y2), thousandths of the page, that a reader printed as [[x1, y1, x2, y2]]."""
+    part = lambda k: F.regexp_extract_all(c, F.lit(r"\[\[\s*(\d+),\s*(\d+),\s*(\d+),\s*(\d+)\s*\]\]"), F.lit(k))
+    return F.transform(F.arrays_zip(*(part(k).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"), 1))), lambda b: F.struct(*(b[n].cast("int").alias(n) for n in ("x1", "y1", "x2", "y2"))))
+
+
+def skipped_fraction(c: Column) -> Column:
+    """Share of the page that printed boxes cover, one at most."""
+    area = F.aggregate(boxes(c), F.lit(0.0), lambda s, b: s + F.greatest(b["x2"] - b["x1"], F.lit(0)) * F.greatest(b["y2"] - b["y1"], F.lit(0)))
+    return F.least(F.lit(1.0), area / 1_000_000)
+
+
+def vertical_band(c: Column) -> Column:
+    """Whether all boxes lie in a band narrower than 0.30 and taller than 0.40 of the page."""
+    far = lambda hi, lo: (F.array_max(F.transform(boxes(c), lambda b: b[hi])) - F.array_min(F.transform(boxes(c), lambda b: b[lo]))) / 1000
+    return F.coalesce((far("x2", "x1") < 0.30) & (far("y2", "y1") > 0.40), F.lit(False))
+
+
+def marks_unread(c: Column) -> Column:
+    """Six choices and more are printed and none is filled."""
+    filled = c.rlike(r"(?i)\[\s*x\s*\]|☒|☑|\(\s*x\s*\)")
+    return (F.size(F.regexp_extract_all(c, F.lit(r"(\[\s*\]|☐|□|\(\s*\))"), F.lit(1))) >= 6) & ~filled
+
+
+def broken_numbers(c: Column) -> Column:
+    """Numbers torn apart ("1,2 34.50") on a page that prints amounts."""
+    torn = F.regexp_extract_all(c, F.lit(r"([0-9],[0-9]{1,2} [0-9]{1,2}\.[0-9]{2}|[0-9]+\. [0-9]{2}(?![0-9]))"), F.lit(1))
+    return F.when(c.rlike(r"\$ ?[0-9]"), torn).otherwise(F.array().cast("array<string>"))
+
+
+def content_lost(ink: Column, pixels: Column, chars: Column) -> Column:
+    """Three per cent of the page is ink, but the text holds fewer characters than such ink prints."""
+    share = F.try_divide(ink, pixels)
+    return F.coalesce((share >= 0.03) & (chars < ink * 0.006), F.lit(False))
+
+
+def flag_codes(c: Column) -> Column:
+    """Distinct codes of a JSON list whose items are strings or objects with a code."""
+    items = F.from_json(c, "array<string>")
+    return F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.code"), x)), lambda x: x.isNotNull() & (x != ""))))
+
+
+def headings(c: Column) -> Column:
+    """Lines in capitals, of three letters and more and at most 80 characters, the first five."""
+    line = lambda x: (F.length(x) <= 80) & (F.length(F.regexp_replace(x, r"[^\p{L}]", "")) >= 3) & (x == F.upper(x))
+    return F.slice(F.filter(F.transform(F.split(c, "\n"), F.trim), line), 1, 5)
+
+
 def snippet(c: Column, limit: int = 900) -> Column:
-    """Head of 600 characters, up to three amounts with context and two dates, cut at ``limit``."""
+    """Headings, the head of 600 characters, up to three amounts with context and two dates, cut at ``limit``."""
     amounts = F.slice(F.regexp_extract_all(c, F.lit(r"((?:[^\s]+\s+){0,5}\$[0-9][0-9,.]*)"), F.lit(1)), 1, 3)
     dates = F.slice(F.regexp_extract_all(c, F.lit(r"([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})"), F.lit(1)), 1, 2)
-    return F.substring(F.concat_ws(" | ", F.substring(c, 1, 600), F.nullif(F.array_join(amounts, " ; "), F.lit("")), F.nullif(F.array_join(dates, " ; "), F.lit(""))), 1, limit)
+    listed = lambda a, by: F.nullif(F.array_join(a, by), F.lit(""))
+    return F.substring(F.concat_ws(" | ", listed(headings(c), " / "), F.substring(c, 1, 600), listed(amounts, " ; "), listed(dates, " ; ")), 1, limit)
+
+
+def without_lines(c: Column, lines: Column) -> Column:
+    """The text without the lines whose trimmed form is in ``lines``."""
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~F.array_contains(lines, F.trim(x))), "\n")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pairs_within(rows: DataFrame, block: list[str], id_: str, keep: list[str]) -> DataFrame:
@@ -68,24 +72,46 @@ def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return keyed.join(first, "_k").filter(F.col(order) > F.col("first")).select(order, "first")
 
 
-def drop_totals(lines: Column, tolerance: float = 0.005) -> Column:
-    """Of an array of amounts, whether each equals a sum of two to six others, of all the array.
-
-    The distinct sums of one to six others grow line by line; where no amount is negative, sums beyond the line go.
-    """
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    sums = [f"s{k}" for k in range(7)]
-
-    def total(i: Column) -> Column:
-        value = F.get(lines, i)
-        useful = lambda s: s.isNull() | (F.array_min(lines) < 0) | (s < value + tolerance)
-
-        def add(state: Column, j: Column) -> Column:
-            more = [F.filter(F.transform(state[a], lambda s: s + F.get(lines, j)), useful) for a in sums[:-1]]
-            return F.struct(state["s0"].alias("s0"), *(F.array_distinct(F.concat(state[b], m)).alias(b) for b, m in zip(sums[1:], more, strict=True)))
-
-        none = F.struct(F.array(F.lit(0.0)).alias("s0"), *(F.array().cast("array<double>").alias(b) for b in sums[1:]))
-        found = F.aggregate(F.filter(places, lambda j: j != i), none, add, lambda state: F.concat(*(state[b] for b in sums[2:])))
-        return F.exists(found, lambda s: F.abs(s - value) < tolerance)
-
-    return F.transform(places, total)
+def digit_slips(cents: int) -> list[int]:
+    """Amounts, in cents, that differ in one printed digit; the leading character must agree."""
+    shown = f"{cents / 100:.2f}"
+    return [int((shown[:i] + d + shown[i + 1 :]).replace(".", "")) for i in range(1, len(shown)) if shown[i] != "." for d in "0123456789" if d != shown[i]]
+
+
+def reachable(value: int, others: list[int]) -> bool:
+    """Whether two to six of ``others`` sum up to ``value``, to the cent or one misread digit apart; two halves of up to three meet."""
+    others = [o for o in others if o]
+    if not value or len(others) < 2:
+        return False
+    halves: dict[int, list[int]] = {}
+    for k in range(1, 4):
+        for c in combinations(range(len(others)), k):
+            halves.setdefault(sum(others[i] for i in c), []).append(sum(1 << i for i in c))
+    for want in (value, value - 1, value + 1, *digit_slips(value)):
+        if any(m & (m - 1) for m in halves.get(want, ())):
+            return True
+        for total, masks in halves.items():
+            rest = halves.get(want - total)
+            if rest and any(not a & b for a in masks for b in rest):
+                return True
+    return False
+
+
+def totals_of(lines: list[dict], reference: int | None = None) -> list[bool]:
+    """Lines (page, cents, untyped) that sum up others of their page; untyped ones also over all pages, or within 3 % of the reference total."""
+    found = []
+    for i, d in enumerate(lines):
+        rest = [o for j, o in enumerate(lines) if j != i]
+        value = d["cents"]
+        held = value is not None and reachable(value, [o["cents"] for o in rest if o["page"] == d["page"] and o["cents"] is not None])
+        if value and not held and d["untyped"]:
+            held = reachable(value, [o["cents"] for o in rest if o["cents"] is not None])
+            held = held or bool(reference and reference > 0 and abs(value - reference) / reference <= 0.03)
+        found.append(held)
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def total_lines(lines: pd.Series, reference: pd.Series) -> pd.Series:
+    """``totals_of`` for an array of a case's declared lines; a form's lines are few, their subsets are not a built-in's business."""
+    return pd.Series([totals_of(list(a), None if pd.isna(r) else int(r)) for a, r in zip(lines, reference, strict=True)])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthledger.functions.normalise import slug
@@ -33,7 +32,8 @@ def gathered(findings: list[DataFrame]) -> DataFrame:
 
 def first_seen(findings: DataFrame, identity: str, order: list[str]) -> DataFrame:
     """The first finding of each identity; an explicit order, not an arbitrary survivor."""
-    return findings.withColumn("_p", F.row_number().over(W.partitionBy(identity).orderBy(*order))).filter("_p = 1").drop("_p")
+    row = F.struct(*findings.columns)
+    return findings.groupBy(identity).agg(F.min_by(row, F.struct(*order)).alias("_first")).select("_first.*")  # partial; no window over a hot key
 
 
 def missing(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

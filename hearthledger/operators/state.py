@@ -55,3 +55,21 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, id_: str, valu
     both = left.select(key, time, id_, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias(value)).unionByName(right.select(key, time, id_, F.lit(0).alias("_side"), value))
     by = W.partitionBy(key).orderBy(time, "_side", id_)
     return both.withColumn("as_of", F.last(value, ignorenulls=True).over(by)).filter("_side = 1").drop("_side", value)
+
+
+def throttled(events: DataFrame, key: str, time: str, id_: str, seconds: int) -> DataFrame:
+    """key, time, id: events let through, each at least ``seconds`` after the last one let through.
+
+    An event that follows a gap of ``seconds`` is always let through, so the runs between such gaps are folded one by one.
+    """
+    fresh = gaps(events.select(key, time, id_), [key], time, [time, id_]).withColumn("_new", F.when(F.col("gap_us") < seconds * 1_000_000, 0).otherwise(1))
+    runs = fresh.withColumn("_run", F.sum("_new").over(W.partitionBy(key).orderBy(time, id_)))
+    alone = F.struct(F.col(time).alias("t"), F.col(id_).alias("i"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
+    folded = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(alone)).alias("_e"))
+    first = F.struct(F.lit(None).cast("long").alias("last"), F.slice("_e", 1, 0).alias("kept"))
+
+    def step(s: Column, e: Column) -> Column:
+        go = s["last"].isNull() | (e["us"] - s["last"] >= seconds * 1_000_000)
+        return F.struct(F.when(go, e["us"]).otherwise(s["last"]).alias("last"), F.when(go, F.concat(s["kept"], F.array(e))).otherwise(s["kept"]).alias("kept"))
+
+    return folded.select(key, F.explode(F.aggregate("_e", first, step, lambda s: s["kept"])).alias("_k")).select(key, F.col("_k.t").alias(time), F.col("_k.i").alias(id_))

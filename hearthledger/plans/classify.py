@@ -83,8 +83,8 @@ def promote_latest(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_type, count(*) AS parts FROM part WHERE p_size > 40 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5
+SELECT p_type, count(*) AS parts FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5
 """)
 def top_labels(t: Tables) -> DataFrame:
     """The five most frequent labels (a top-k report)."""
-    return t.part.filter("p_size > 40").groupBy("p_type").agg(F.count("*").alias("parts")).orderBy(F.desc("parts"), "p_type").limit(5)
+    return t.part.groupBy("p_type").agg(F.count("*").alias("parts")).orderBy(F.desc("parts"), "p_type").limit(5)

@@ -34,24 +34,22 @@ WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), c AS (SELECT do
 SELECT doc_id, sum(n)::BIGINT AS tokens, frac4(max(n)::DOUBLE / sum(n)) AS share, max(n)::DOUBLE / sum(n) >= 0.5 AS degenerate FROM c GROUP BY 1 HAVING sum(n) >= 60
 """)
 def dominant_token(t: Tables) -> DataFrame:
-    """Share of the most frequent token of texts of sixty tokens and more."""
-    counts = t.documents.select("doc_id", F.explode(P.words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    share = F.max("n").cast("double") / F.sum("n")
-    return counts.groupBy("doc_id").agg(F.sum("n").alias("tokens"), nearest(share, 4).alias("share"), (share >= 0.5).alias("degenerate")).filter("tokens >= 60")
+    """Share of the most frequent token of texts of sixty tokens and more, counted within the row."""
+    held = t.documents.select("doc_id", P.words(F.col("text")).alias("w")).filter(F.size("w") >= 60).withColumn("s", P.dominant_share(F.col("w")))
+    return held.select("doc_id", F.size("w").cast("long").alias("tokens"), nearest(F.col("s"), 4).alias("share"), (F.col("s") >= 0.5).alias("degenerate"))
 
 
 @query(f"""
-WITH a AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM a WHERE len(w) >= 60),
-c AS (SELECT doc_id, n, g, count(*) AS k FROM g WHERE regexp_matches(g, '[A-Za-z]{{3,}}') GROUP BY 1, 2, 3)
-SELECT doc_id, frac4(least(1.0, 2.0::DOUBLE * max(k) / n)) AS share FROM c GROUP BY doc_id, n
+WITH a AS (SELECT doc_id, {_WORDS} AS w FROM documents), l AS (SELECT doc_id, w, len(w) AS n FROM a WHERE len(w) >= 60),
+g AS (SELECT doc_id, n, 2 AS k, unnest(list_transform(range(1, n), lambda i: w[i:i+1])) AS g FROM l UNION ALL SELECT doc_id, n, 3, unnest(list_transform(range(1, n - 1), lambda i: w[i:i+2])) FROM l),
+c AS (SELECT doc_id, n, k, g, count(*) AS c FROM g WHERE len(list_filter(g, lambda x: length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 3)) > 0 GROUP BY 1, 2, 3, 4),
+b AS (SELECT doc_id, max(least(1.0, k::DOUBLE * c / n)) AS s FROM c GROUP BY 1)
+SELECT l.doc_id, frac4(coalesce(s, 0.0)) AS share, coalesce(s, 0.0) >= 0.35 AS looping FROM l LEFT JOIN b USING (doc_id)
 """)
 def repeated_phrase(t: Tables) -> DataFrame:
-    """Share of tokens inside the most frequent two-word phrase that holds a word."""
-    w = P.words(F.col("text"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    long = t.documents.select("doc_id", w.alias("w")).filter(F.size("w") >= 60).select("doc_id", F.size("w").alias("n"), F.explode(grams).alias("g"))
-    counts = long.filter(F.col("g").rlike("[A-Za-z]{3,}")).groupBy("doc_id", "n", "g").agg(F.count("*").alias("k"))
-    return counts.groupBy("doc_id", "n").agg(nearest(F.least(F.lit(1.0), 2.0 * F.max("k") / F.col("n")), 4).alias("share")).drop("n")
+    """Share of tokens inside the most frequent phrase of two or three tokens that holds a word, counted within the row."""
+    shares = t.documents.select("doc_id", P.phrase_share(P.words(F.col("text"))).alias("s")).filter("s is not null")
+    return shares.select("doc_id", nearest(F.col("s"), 4).alias("share"), (F.col("s") >= 0.35).alias("looping"))
 
 
 @query(f"""
@@ -81,11 +79,14 @@ def repeated_lines(t: Tables) -> DataFrame:
     return lines.groupBy("source", F.md5("line").alias("line")).agg(F.countDistinct("doc_id").alias("docs")).filter("docs >= 3")
 
 
-@query(r"SELECT doc_id, md5(substr(text, 1, 600)) AS snippet, length(substr(text, 1, 600)) AS n FROM documents WHERE NOT regexp_matches(text, '\$[0-9]|[0-9]/[0-9]')")
+@query(None)
 def snippets(t: Tables) -> DataFrame:
-    """Snippets of texts without amounts and dates are their heads."""
-    docs = t.documents.filter(~F.col("text").rlike(r"\$[0-9]|[0-9]/[0-9]"))
-    return docs.select("doc_id", P.snippet(F.col("text")).alias("s")).select("doc_id", F.md5("s").alias("snippet"), F.length("s").cast("long").alias("n"))
+    """Snippets of all texts, without the lines that repeat on three documents of the source (back-references to the anti join's lines have no SQL twin)."""
+    lines = t.documents.select("source", "doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line")).filter(F.length("line") >= 12)
+    often = lines.groupBy("source", "line").agg(F.count("*").alias("docs")).filter("docs >= 3")
+    own = lines.join(often.select("source", "line"), ["source", "line"]).groupBy("doc_id").agg(F.collect_set("line").alias("repeated"))
+    docs = t.documents.select("doc_id", "text").join(own, "doc_id", "left").withColumn("repeated", F.coalesce("repeated", F.array().cast("array<string>")))
+    return docs.select("doc_id", P.snippet(P.without_lines(F.col("text"), F.col("repeated"))).alias("snippet"))
 
 
 @query(None)
@@ -106,15 +107,8 @@ def degenerate_pages(t: Tables) -> DataFrame:
 
     zlib has no built-in form: one vectorised function. Compression and token need 300 bytes, the phrase 60 tokens with a word in it.
     """
-    w, n = P.words(F.col("text")), F.size("w")
-    word = lambda g: F.exists(g, lambda x: F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 3)
-    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.slice("w", i, k))
-    grams = [F.when(n >= k, cut(k)).otherwise(F.array().cast("array<array<string>>")) for k in (1, 2, 3)]
-    each = t.documents.select("doc_id", w.alias("w")).select("doc_id", n.alias("tokens"), F.explode(F.concat(*grams)).alias("g"))
-    counts = each.groupBy("doc_id", "tokens", "g").agg(F.count("*").alias("k")).withColumn("share", F.least(F.lit(1.0), F.col("k") * F.size("g") / F.col("tokens")))
-    phrased = (F.size("g") > 1) & (F.col("tokens") >= 60) & word(F.col("g"))
-    shares = counts.groupBy("doc_id").agg(F.max(F.when(F.size("g") == 1, F.col("share"))).alias("token"), F.max(F.when(phrased, F.col("share"))).alias("phrase"))
-    found = t.documents.select("doc_id", deflate_ratio(F.col("text")).alias("ratio")).join(shares, "doc_id", "left")
+    w = P.words(F.col("text"))
+    found = t.documents.select("doc_id", deflate_ratio(F.col("text")).alias("ratio"), P.dominant_share(w).alias("token"), P.phrase_share(w).alias("phrase"))
     held = (F.col("ratio") < 0.10) | (F.col("ratio").isNotNull() & (F.col("token") >= 0.5)) | (F.col("phrase") >= 0.35)
     return found.filter(held).select("doc_id", *(nearest(F.col(c), 4).alias(c) for c in ("ratio", "token", "phrase")))
 
@@ -134,11 +128,33 @@ SELECT item_id, count(*) AS pages, min(doc_id) AS first FROM benchmark b JOIN do
 """)
 def value_on_page(t: Tables) -> DataFrame:
     """Benchmark passages printed whole in documents: candidates by the first five words, then the full text."""
-    lead = lambda c: F.array_join(F.slice(P.words(c), 1, 5), " ")
-    asked = t.benchmark.select("item_id", F.col("text").alias("passage"), lead(F.col("text")).alias("lead"))
+    # a passage may begin and end inside a word: whole words within it, without the first and the last, decide on candidates
     w = P.words(F.col("text"))
+    inner = F.slice(P.words(F.col("text")), 2, 5)
+    asked = t.benchmark.select("item_id", F.col("text").alias("passage"), F.when(F.size(P.words(F.col("text"))) >= 7, F.array_join(inner, " ")).alias("lead"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
     places = t.documents.select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("lead"))
-    hits = places.join(asked, "lead").select("doc_id", "item_id", "passage").distinct()  # texts are fetched for hits only
-    found = t.documents.select("doc_id", "text").join(hits, "doc_id").filter(F.contains("text", "passage"))
-    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.min("doc_id").alias("first"))
+    hits = places.join(asked.filter("lead is not null"), "lead").select("doc_id", "item_id", "passage").distinct()  # texts are fetched for hits only
+    found = t.documents.select("doc_id", "text").join(hits, "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    # passages of fewer than seven words have no such part: a stated set against all texts
+    short = t.documents.select("doc_id", "text").join(asked.filter("lead is null and passage <> ''"), F.contains("text", "passage")).select("doc_id", "item_id")
+    return found.union(short).groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.min("doc_id").alias("first"))
+
+
+_BOX = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::INT AS x1, l_partkey::INT % 400 AS y1, l_quantity::INT + l_suppkey::INT % 500 AS x2, l_partkey::INT % 400 + round(l_discount * 6000)::INT AS y2 FROM lineitem"
+
+
+def _printed_boxes(t: Tables) -> DataFrame:
+    """Orders as pages: each line prints one box, as the reader writes it."""
+    x1, y1 = F.col("l_quantity").cast("int"), F.pmod(F.col("l_partkey").cast("int"), F.lit(400))
+    box = F.format_string("<|det|>[[%d, %d, %d, %d]]<|/det|>", x1, y1, x1 + F.pmod(F.col("l_suppkey").cast("int"), F.lit(500)), y1 + F.round(F.col("l_discount") * 6000).cast("int"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(box)), "\n").alias("page"))
+
+
+@query(f"""
+SELECT l_orderkey, frac4(least(1.0, sum((x2 - x1) * (y2 - y1))::DOUBLE / 1000000)) AS share, (max(x2) - min(x1))::DOUBLE / 1000 < 0.30 AND (max(y2) - min(y1))::DOUBLE / 1000 > 0.40 AS band FROM ({_BOX}) GROUP BY 1
+""")
+def printed_boxes(t: Tables) -> DataFrame:
+    """Share of a page that printed boxes cover, and whether they stand in a tall, narrow band."""
+    page = F.col("page")
+    return _printed_boxes(t).select("l_orderkey", nearest(P.skipped_fraction(page), 4).alias("share"), P.vertical_band(page).alias("band"))

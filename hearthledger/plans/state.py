@@ -88,11 +88,15 @@ def asof_rate(t: Tables) -> DataFrame:
     return S.as_of(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), "user_id", "ts", "event_id", "value").select("event_id", "user_id", "as_of")
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap IS NULL OR gap >= 30000000")
+@query("""
+WITH RECURSIVE d AS MATERIALIZED (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+n AS MATERIALIZED (SELECT f.user_id, f.ts, f.next_ts, d.event_id AS next_id FROM (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ts FROM d) f JOIN d ON d.user_id = f.user_id AND d.ts = f.next_ts),
+r AS (SELECT user_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1 UNION ALL SELECT n.user_id, n.next_ts, n.next_id FROM r JOIN n ON n.user_id = r.user_id AND n.ts = r.ts)
+SELECT user_id, event_id FROM r
+""")
 def throttled_beats(t: Tables) -> DataFrame:
-    """Heartbeats let through: at least thirty seconds after the one before."""
-    every = S.gaps(_events(t), ["user_id"], "ts", ["ts", "event_id"])
-    return every.filter("gap_us IS NULL OR gap_us >= 30000000").select("event_id", "user_id")
+    """Events as heartbeats, one let through in three hours: the clock runs from the last one let through."""
+    return S.throttled(_events(t), "user_id", "ts", "event_id", 10_800).select("user_id", "event_id")
 
 
 @query("""

@@ -21,10 +21,13 @@ def visible(spark: SparkSession) -> SparkSession:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder (spark.checkpoint.dir; a local one where unset) and read back."""
+    """``df`` written once as Parquet in the shared folder (spark.checkpoint.dir; a temporary one where unset and local) and read back."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _LOCAL[0]
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or _LOCAL[0]
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
