@@ -65,6 +65,18 @@ def clusters(edges: DataFrame, nodes: DataFrame, id_: str, durable) -> DataFrame
             return label.select(F.col("v").alias(id_), F.col("l").alias("cluster"))
 
 
+def slip_pairs(rows: DataFrame, id_: str, text: str) -> DataFrame:
+    """a, b: ids whose texts are one character substituted, dropped or added apart. Texts meet on a text with one place masked or cut."""
+    held = rows.select(F.col(id_).alias("k"), F.col(text).alias("t"))
+    places = F.sequence(F.lit(1), F.length("t"))
+    cut = lambda mark: F.transform(places, lambda i: F.concat(F.left("t", i - 1), F.lit(mark), F.substring(F.col("t"), i + 1, F.length("t"))))
+    masked, dropped = held.select("k", "t", F.explode(cut("?")).alias("m")), held.select("k", "t", F.explode(F.array_distinct(cut(""))).alias("m"))
+    named = lambda df, n: df.withColumnsRenamed({"k": n, "t": f"t_{n}"})
+    swapped = named(masked, "a").join(named(masked, "b"), "m").filter("a < b and t_a <> t_b").select("a", "b")
+    added = named(dropped, "a").join(named(held.withColumn("m", F.col("t")), "b"), "m").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return swapped.union(added).distinct()
+
+
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """order, first: rows whose key occurred before, and where. The minimum is partial; no window sees a hot key."""
     keyed = rows.select(order, key.alias("_k"))
