@@ -123,11 +123,8 @@ def second_read_queue(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", reason.alias("reason"))
 
 
-@query("""
-SELECT item_id, count(*) AS pages, min(doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1
-""")
-def value_on_page(t: Tables) -> DataFrame:
-    """Benchmark passages printed whole in documents: candidates by the first five words, then the full text."""
+def passage_hits(t: Tables) -> DataFrame:
+    """doc_id, item_id: benchmark passages printed whole in documents, candidates by words inside the passage, then the full text."""
     # a passage may begin and end inside a word: whole words within it, without the first and the last, decide on candidates
     w = P.words(F.col("text"))
     inner = F.slice(P.words(F.col("text")), 2, 5)
@@ -138,7 +135,15 @@ def value_on_page(t: Tables) -> DataFrame:
     found = t.documents.select("doc_id", "text").join(hits, "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
     # passages of fewer than seven words have no such part: a stated set against all texts
     short = t.documents.select("doc_id", "text").join(asked.filter("lead is null and passage <> ''"), F.contains("text", "passage")).select("doc_id", "item_id")
-    return found.union(short).groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.min("doc_id").alias("first"))
+    return found.union(short)
+
+
+@query("""
+SELECT item_id, count(*) AS pages, min(doc_id) AS first FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1
+""")
+def value_on_page(t: Tables) -> DataFrame:
+    """Documents that print a benchmark passage whole."""
+    return passage_hits(t).groupBy("item_id").agg(F.countDistinct("doc_id").alias("pages"), F.min("doc_id").alias("first"))
 
 
 _BOX = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::INT AS x1, l_partkey::INT % 400 AS y1, l_quantity::INT + l_suppkey::INT % 500 AS x2, l_partkey::INT % 400 + round(l_discount * 6000)::INT AS y2 FROM lineitem"

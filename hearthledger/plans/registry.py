@@ -51,4 +51,4 @@ def query(oracle: str | None) -> Callable[[Callable[[Tables], DataFrame]], Query
     return register
 
 
-from hearthledger.plans import classify, income, inventory, linkage, normalise, packets, pages, people, reconciling, rules, scoring, state  # noqa: E402, F401
+from hearthledger.plans import classify, income, inventory, linkage, normalise, packets, pages, people, reconciling, review, rules, scoring, state  # noqa: E402, F401
