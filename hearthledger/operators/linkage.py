@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -18,6 +20,55 @@ def pairs_within(rows: DataFrame, block: list[str], id_: str, keep: list[str]) -
     return a.join(b, block).filter(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
 
 
+def prefix_keys(rows: DataFrame, block: str, id_: str, items: Column, least: Callable[[Column], Column], tag: str) -> DataFrame:
+    """block, id, key: of each row's distinct items, rare ones first, as many that two rows sharing ``least(size)`` of them share a key."""
+    each = rows.select(block, id_, F.posexplode(items).alias("_at", "_i"), F.size(items).alias("_n")).drop("_at")
+    often = each.groupBy(block, "_i").agg(F.count("*").alias("_c"))
+    ranked = each.join(often, [block, "_i"]).groupBy(block, id_).agg(F.array_sort(F.collect_list(F.struct("_c", "_i"))).alias("_s"), F.max("_n").alias("_n"))
+    kept = F.slice("_s", 1, F.greatest(F.col("_n") - least(F.col("_n")) + 1, F.lit(1)).cast("int"))
+    return ranked.select(block, id_, F.explode(kept).alias("_k")).select(block, id_, F.concat(F.lit(tag), F.col("_k._i")).alias("key"))
+
+
+def candidates(keys: DataFrame, rows: DataFrame, block: str, id_: str, text: str) -> DataFrame:
+    """id_a, id_b, text_a, text_b: rows of a block that share a key."""
+    named = lambda n: keys.select(block, "key", F.col(id_).alias(f"{id_}_{n}"))
+    met = named("a").join(named("b"), [block, "key"]).filter(F.col(f"{id_}_a") < F.col(f"{id_}_b")).select(f"{id_}_a", f"{id_}_b").distinct()
+    texts = lambda n: rows.select(F.col(id_).alias(f"{id_}_{n}"), F.col(text).alias(f"{text}_{n}"))
+    return met.join(texts("a"), f"{id_}_a").join(texts("b"), f"{id_}_b")
+
+
+def nearest_by(left: DataFrame, right: DataFrame, block: str, id_l: str, id_r: str, value: str) -> DataFrame:
+    """id_l, id_r, score: for each left row the right row of the block with the nearest value, ties to the smaller id: one sorted pass, no product."""
+    points = right.groupBy(block, value).agg(F.min(id_r).alias(id_r))
+    both = left.select(block, value, F.col(id_l).alias("_l"), F.lit(None).cast(right.schema[id_r].dataType).alias("_r")).unionByName(points.select(block, value, F.lit(None).cast(left.schema[id_l].dataType).alias("_l"), F.col(id_r).alias("_r")))
+    point = F.when(F.col("_r").isNotNull(), F.struct(F.col(value).alias("v"), F.col("_r").alias("r")))
+    # rows of one value see each other: a range frame
+    by = W.partitionBy(block).orderBy(value)
+    below = F.last(point, ignorenulls=True).over(by.rangeBetween(W.unboundedPreceding, W.currentRow))
+    above = F.first(point, ignorenulls=True).over(by.rangeBetween(W.currentRow, W.unboundedFollowing))
+    found = both.withColumn("_a", below).withColumn("_b", above).filter("_l is not null")
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(value) - F.col(f"{c}.v")).alias("d"), F.col(f"{c}.r").alias("r")))
+    best = F.least(away("_a"), away("_b"))  # nulls aside
+    return found.withColumn("_n", best).filter("_n is not null").select(F.col("_l").alias(id_l), F.col("_n.r").alias(id_r), (-F.col("_n.d")).alias("score"))
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, block: str, id_l: str, id_r: str, value: str) -> DataFrame:
+    """Pairs that are each other's nearest."""
+    there, back = nearest_by(left, right, block, id_l, id_r, value), nearest_by(right, left, block, id_r, id_l, value)
+    return there.join(back.select(id_l, id_r), [id_l, id_r])
+
+
+def nearest_one_to_one(left: DataFrame, right: DataFrame, block: str, id_l: str, id_r: str, value: str, durable) -> DataFrame:
+    """Greedy nearest-first one-to-one links: rounds of mutual nearest pairs, without any pair that is not one."""
+    l, r, done = durable(left.select(block, id_l, value)), durable(right.select(block, id_r, value)), []
+    while True:
+        won = durable(mutual_nearest(l, r, block, id_l, id_r, value))
+        if won.isEmpty():
+            return reduce(DataFrame.union, done, won)
+        done.append(won)
+        l, r = durable(l.join(won.select(id_l), id_l, "left_anti")), durable(r.join(won.select(id_r), id_r, "left_anti"))
+
+
 def one_edit_pairs(rows: DataFrame, id_: str, text: str) -> DataFrame:
     """Pairs of equal length that differ in one character other than the first: joined on the text with
     that position masked, so that no pair is compared that cannot match."""
@@ -31,26 +82,6 @@ def first_match(links: DataFrame, item: str, order: list[Column]) -> DataFrame:
     return links.withColumn("_p", F.row_number().over(W.partitionBy(item).orderBy(*order))).filter("_p = 1").drop("_p")
 
 
-def mutual_best(scored: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """Pairs that are each other's best, ties to smaller ids: the first round of a one-to-one assignment."""
-    best = lambda side, other: F.max(F.struct(score, (-F.col(other)).alias("t"))).over(W.partitionBy(side))
-    both = scored.withColumn("_l", best(left, right)).withColumn("_r", best(right, left))
-    return both.filter((F.col("_l.t") == -F.col(right)) & (F.col("_r.t") == -F.col(left))).drop("_l", "_r")
-
-
-def one_to_one(scored: DataFrame, left: str, right: str, score: str, durable) -> DataFrame:
-    """Greedy best-first one-to-one links: rounds of mutual bests until no candidate is left.
-
-    ``durable`` writes and rereads a table, cutting the lineage between rounds.
-    """
-    left_over, done = durable(scored), None
-    while not left_over.isEmpty():
-        won = durable(mutual_best(left_over, left, right, score))
-        done = won if done is None else done.union(won)
-        left_over = durable(left_over.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti").select(*scored.columns))
-    return scored.limit(0) if done is None else done
-
-
 def clusters(edges: DataFrame, nodes: DataFrame, id_: str, durable) -> DataFrame:
     """id, cluster: the smallest id each node reaches over (a, b) edges; min-label propagation with shortcuts."""
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())

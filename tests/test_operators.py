@@ -39,8 +39,9 @@ def test_name_similarity(spark):
 
 
 def test_one_to_one_uses_each_side_once(spark):
-    scored = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.85), (2, 2, 0.1)], "l int, r int, s double")
-    got = sorted((r.l, r.r) for r in linkage.one_to_one(scored, "l", "r", "s", written).collect())
+    left = spark.createDataFrame([("n", 1, 10.0), ("n", 2, 11.0), ("m", 3, 5.0)], "b string, l int, v double")
+    right = spark.createDataFrame([("n", 1, 10.4), ("n", 2, 40.0)], "b string, r int, v double")
+    got = sorted((r.l, r.r) for r in linkage.nearest_one_to_one(left, right, "b", "l", "r", "v", written).collect())
     assert got == [(1, 1), (2, 2)]
 
 

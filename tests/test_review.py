@@ -52,6 +52,25 @@ def test_slip_pairs_by_brute_force(spark):
     assert got == {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(texts[i], texts[j])}
 
 
+def test_one_to_one_by_a_plain_greedy_loop(spark):
+    import random
+
+    from hearthledger.operators.linkage import nearest_one_to_one
+    from hearthledger.sources.session import written
+
+    rng = random.Random(6)
+    left, right = [[(rng.choice("ab"), k + i, float(rng.randint(0, 60))) for i in range(n)] for k, n in ((0, 40), (100, 25))]
+    pairs = sorted((abs(x - y), i, j) for b, i, x in left for c, j, y in right if b == c)
+    used, want = set(), []
+    for d, i, j in pairs:
+        if not {i, j} & used:
+            used |= {i, j}
+            want.append((i, j, -d))
+    rows = lambda x, k: spark.createDataFrame(x, f"b string, {k} long, v double")
+    got = [tuple(r) for r in nearest_one_to_one(rows(left, "l"), rows(right, "r"), "b", "l", "r", "v", written).collect()]
+    assert len({i for i, *_ in got}) == len({j for _, j, _ in got}) == len(got) == len(want) and sorted(s for *_, s in got) == sorted(s for *_, s in want)
+
+
 def test_income_reconciliation_tiers(spark):
     d = spark.createDataFrame([("c", "ana", 1, "wage", 1000.0), ("c", "ana", 2, "other", 5.0), ("c", "bea", 3, "child support", 70.0), ("c", "bea", 4, "pension", 9.0), ("e", "ana", 5, None, None)], '"case" string, member string, d_id long, type string, annual double'.replace('"', ""))
     v = spark.createDataFrame([("c", "ana", 10, "wage", 5000.0), ("c", "ana", 11, "wage", 1010.0), ("c", "ana", 12, "child support", 70.0)], "case string, member string, v_id long, type string, annual double")
