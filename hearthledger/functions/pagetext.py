@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from hearthledger.functions.normalise import let
+from pyspark.sql import types as T
 
 #: Entities decoded before reading, in this order. Fixed values.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&amp;", "&"))
@@ -73,31 +76,27 @@ def scrubbed(values: Column) -> Column:
     return F.transform(values, lambda v: F.nullif(strip_html(v), F.lit("")))
 
 
-def top_run(items: Column) -> Column:
-    """How often the most frequent item of an array occurs: the longest run once sorted, without a shuffle."""
-    first = F.struct(F.lit(None).cast("string").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(s["at"].eqNullSafe(x), s["run"] + 1).otherwise(1)
-        return F.struct(x.alias("at"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    return F.aggregate(F.array_sort(items), first, step, lambda s: s["best"])
-
-
-def dominant_share(tokens: Column) -> Column:
-    return let(tokens, lambda w: F.try_divide(top_run(w), F.size(w)))
-
-
-def phrase_share(tokens: Column) -> Column:
-    """Share of tokens in the most frequent phrase of two or of three tokens, one of which has three letters; null below sixty tokens."""
-
-    def best(w: Column, worded: Column, k: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.exists(F.slice(worded, i + 1, k), lambda b: b))
-        return F.least(F.lit(1.0), k * top_run(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, k), " "))) / F.size(w))
-
-    # arrays that lambdas read are bound, so that they are computed once
-    worded = lambda w: F.transform(w, lambda t: F.length(F.regexp_replace(t, "[^A-Za-z]", "")) >= 3)
-    return let(tokens, lambda w: F.when(F.size(w) >= 60, let(worded(w), lambda f: F.greatest(best(w, f, 2), best(w, f, 3)))))
+def _loops(text: str | None) -> tuple[int, float | None, float | None]:
+    w = [x for x in re.split(r"[ \t\n\f\r]+", text or "") if x]
+    n = len(w)
+    if not n:
+        return 0, None, None
+    token = max(Counter(w).values()) / n
+    if n < 60:
+        return n, token, None
+    worded = {x for x in set(w) if sum(c.isascii() and c.isalpha() for c in x) >= 3}
+    best = 0.0
+    for k in (2, 3):
+        counts = Counter(zip(*(w[i:] for i in range(k)), strict=False))
+        best = max(best, k * max((c for g, c in counts.items() if not worded.isdisjoint(g)), default=0) / n)
+    return n, token, min(1.0, best)
+
+
+@F.pandas_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("token", T.DoubleType()), T.StructField("phrase", T.DoubleType())]))
+def loops(texts: pd.Series) -> pd.DataFrame:
+    """Tokens; share of the most frequent one; share of tokens in the most frequent phrase of two or three tokens, one of which has
+    three letters (null below sixty tokens). Counted within a text: no shuffle, and several times faster than array lambdas."""
+    return pd.DataFrame(list(map(_loops, texts)), columns=["tokens", "token", "phrase"]).astype({"tokens": "int64", "token": "float64", "phrase": "float64"})
 
 
 def boxes(c: Column) -> Column:

@@ -35,8 +35,8 @@ SELECT doc_id, sum(n)::BIGINT AS tokens, frac4(max(n)::DOUBLE / sum(n)) AS share
 """)
 def dominant_token(t: Tables) -> DataFrame:
     """Share of the most frequent token of texts of sixty tokens and more, counted within the row."""
-    held = t.documents.select("doc_id", P.words(F.col("text")).alias("w")).filter(F.size("w") >= 60).withColumn("s", P.dominant_share(F.col("w")))
-    return held.select("doc_id", F.size("w").cast("long").alias("tokens"), nearest(F.col("s"), 4).alias("share"), (F.col("s") >= 0.5).alias("degenerate"))
+    held = t.documents.select("doc_id", P.loops(F.col("text")).alias("l")).filter("l.tokens >= 60")
+    return held.select("doc_id", "l.tokens", nearest(F.col("l.token"), 4).alias("share"), (F.col("l.token") >= 0.5).alias("degenerate"))
 
 
 @query(f"""
@@ -48,7 +48,7 @@ SELECT l.doc_id, frac4(coalesce(s, 0.0)) AS share, coalesce(s, 0.0) >= 0.35 AS l
 """)
 def repeated_phrase(t: Tables) -> DataFrame:
     """Share of tokens inside the most frequent phrase of two or three tokens that holds a word, counted within the row."""
-    shares = t.documents.select("doc_id", P.phrase_share(P.words(F.col("text"))).alias("s")).filter("s is not null")
+    shares = t.documents.select("doc_id", P.loops(F.col("text")).alias("l")).filter("l.tokens >= 60").withColumn("s", F.col("l.phrase"))
     return shares.select("doc_id", nearest(F.col("s"), 4).alias("share"), (F.col("s") >= 0.35).alias("looping"))
 
 
@@ -107,8 +107,7 @@ def degenerate_pages(t: Tables) -> DataFrame:
 
     zlib has no built-in form: one vectorised function. Compression and token need 300 bytes, the phrase 60 tokens with a word in it.
     """
-    w = P.words(F.col("text"))
-    found = t.documents.select("doc_id", deflate_ratio(F.col("text")).alias("ratio"), P.dominant_share(w).alias("token"), P.phrase_share(w).alias("phrase"))
+    found = t.documents.select("doc_id", deflate_ratio(F.col("text")).alias("ratio"), P.loops(F.col("text")).alias("l")).select("doc_id", "ratio", "l.token", "l.phrase")
     held = (F.col("ratio") < 0.10) | (F.col("ratio").isNotNull() & (F.col("token") >= 0.5)) | (F.col("phrase") >= 0.35)
     return found.filter(held).select("doc_id", *(nearest(F.col(c), 4).alias(c) for c in ("ratio", "token", "phrase")))
 

@@ -123,8 +123,8 @@ def test_snippets_and_repeated_lines(spark):
     text = "PAY STATEMENT\nEmployee Jane\nfooter line of the form\n" + "filler " * 120 + "\nnet pay for this period was $1,234.50 on 01/02/2024 and $9"
     got = one(spark, P.snippet(P.without_lines(F.lit(text), F.array(F.lit("footer line of the form")))))
     assert got.startswith("PAY STATEMENT | PAY STATEMENT\nEmployee Jane\nfiller") and "footer" not in got and "$1,234.50" in got and "01/02/2024" in got and len(got) <= 900
-    assert one(spark, P.phrase_share(P.words(F.lit("the same words " * 30)))) == 1.0 and one(spark, P.phrase_share(P.words(F.lit("a b " * 40)))) == 0.0
-    assert one(spark, P.phrase_share(P.words(F.lit("too short")))) is None
+    phrase = lambda x: one(spark, P.loops(F.lit(x)))["phrase"]
+    assert phrase("the same words " * 30) == 1.0 and phrase("a b " * 40) == 0.0 and phrase("too short") is None and one(spark, P.loops(F.lit(None).cast("string")))["tokens"] == 0
 
 
 def test_throttle_runs_from_the_last_beat_let_through(spark):
