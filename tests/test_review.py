@@ -71,6 +71,29 @@ def test_one_to_one_by_a_plain_greedy_loop(spark):
     assert len({i for i, *_ in got}) == len({j for _, j, _ in got}) == len(got) == len(want) and sorted(s for *_, s in got) == sorted(s for *_, s in want)
 
 
+def test_greedy_links_by_a_plain_loop(spark):
+    import random
+
+    from hearthledger.operators import manifest as O
+    from hearthledger.sources.session import written
+
+    rng = random.Random(3)
+    claims = sorted({(rng.randint(0, 2), rng.randint(0, 4) / 4, rng.randint(0, 30), 100 + rng.randint(0, 20)) for _ in range(150)}, reverse=True)
+    claims = list({(i, j): (t, s, i, j) for t, s, i, j in claims}.values())
+    used, want = set(), []
+    for t, s, i, j in sorted(claims, reverse=True):
+        if not {i, j} & used:
+            used |= {i, j}
+            want.append((t, s, i, j))
+    rows = spark.createDataFrame(claims, "tier int, score double, i long, j long")
+    assert sorted(tuple(r) for r in O.greedy(rows, "i", "j", ["tier", "score"], written).select("tier", "score", "i", "j").collect()) == sorted(want)
+    assert O.greedy(rows.limit(0), "i", "j", ["tier", "score"], written).count() == 0
+    m = spark.createDataFrame([("c", 1, "Ana Lopez", "1990-01-01"), ("c", 2, "Bea Moran", None), ("c", 3, "Carl Onslow", "2000-01-01"), ("c", 4, "Dora Quist", "1980-01-01")], "case string, i long, name string, dob string")
+    h = spark.createDataFrame([("c", 10, "Ana Lopes", "1990-01-01"), ("c", 11, "Bea Moran", "1970-01-01"), ("c", 12, "Carl Onslow", "2001-01-01"), ("c", 13, "Evan Pryor", "1980-01-01")], "case string, j long, name string, dob string")
+    got = {(r.i, r.j): r.tier for r in O.member_claims(m, h).collect()}
+    assert got == {(1, 10): 2, (2, 11): 1, (3, 12): 0}
+
+
 def test_income_reconciliation_tiers(spark):
     d = spark.createDataFrame([("c", "ana", 1, "wage", 1000.0), ("c", "ana", 2, "other", 5.0), ("c", "bea", 3, "child support", 70.0), ("c", "bea", 4, "pension", 9.0), ("e", "ana", 5, None, None)], '"case" string, member string, d_id long, type string, annual double'.replace('"', ""))
     v = spark.createDataFrame([("c", "ana", 10, "wage", 5000.0), ("c", "ana", 11, "wage", 1010.0), ("c", "ana", 12, "child support", 70.0)], "case string, member string, v_id long, type string, annual double")
@@ -138,3 +161,34 @@ def test_best_method_and_caps(spark):
     assert V.best_calculation(calcs, ["k"]).first().annual == 8.0
     assert one(spark, V.declared_off(F.lit(100.0), F.array(F.lit(200.0), F.lit(105.0)))) is False and one(spark, V.declared_off(F.lit(100.0), F.array(F.lit(200.0)))) is True
     assert one(spark, V.reachable_sums(F.array(F.lit(1.1), F.lit(2.2)))) == [0.0, 1.1, 2.2, 3.3] and one(spark, V.reachable_sums(F.array(*(F.lit(float(2**k)) for k in range(16))), 1000)) is None
+
+
+def test_sources_and_sinks_round_trip(spark, tmp_path):
+    from hearthledger.sources import packets
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.pdf").write_bytes(b"%PDF-1.7 x")
+    (folder / "b.bin").write_bytes(b"\xff\xd8\xff" + b"0" * 2_000_000)
+    found = packets.binary_files(spark, str(folder), 1).select("length", packets.sniff_kind(F.col("content")).alias("kind")).collect()
+    assert [(r.length, r.kind) for r in found] == [(10, "pdf")]
+    rows = spark.createDataFrame([(1, "x \"y\"", None), (2, None, 2.5)], "k int, s string, d double")
+    packets.write_payloads(rows, str(tmp_path / "out"))
+    back = spark.read.schema(rows.schema).json(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    from pyspark.sql import types as T
+
+    kind = T.StructType([T.StructField("a", T.StringType())])
+    read = lambda x: one(spark, packets.parse_model_output(F.lit(x), kind))
+    assert read('{"a": "1"}')["a"] == "1" and read(r'{"a": "5\% off"}')["a"] == r"5\% off" and read('{"a": ') is None or read('{"a": ')["a"] is None
+
+
+def test_provenance_and_titles(spark):
+    from hearthledger.operators import case_rules as C
+
+    r = spark.createDataFrame([("c", 1, 1234.5), ("c", 2, 80.0), ("c", 3, 81.0), ("d", 4, 1234.5)], "case string, id long, amount double")
+    p = spark.createDataFrame([("c", "net 1,234.50 and 80 dollars; 181.00")], "case string, text string")
+    assert {x.id: x.amount for x in C.provenance(r, p, "id", "amount").collect()} == {1: 1234.5, 2: 80.0, 3: None, 4: None}
+    assert one(spark, C.printed_title(F.lit("The PAY STUB detail"), ["Stub", "Pay Stub", "Lease"])) == "Pay Stub"
+    keys = [one(spark, C.month_key(F.lit(x))) for x in ("2024-03", "2024-03-09", "03/2024", "3/15/2024", "Mar 2024", "March 2024", "13/2024", "soon")]
+    assert keys == ["2024-03"] * 6 + [None, None]
