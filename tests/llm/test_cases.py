@@ -625,3 +625,67 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert sum(len(r.text.split()) for r in mixed.collect()) == taken
     got, want = pipeline.run(spark, str(tmp_path)), packing.stage(spark, mixed, str(tmp_path))
     assert got.agg(F.sum("length")).first() == want.agg(F.sum("length")).first() and got.filter("doc_id is null").count() > 0
+
+
+SF = "/root/testdata/sf0.001"
+CONTRACTS = {
+    "op1_bestfit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op2_source_mixing": "doc_id size source_size target taken",
+    "op3_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op4_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op5_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op6_minhash_neardup": "doc_id n_shingles component_id kept",
+    "op7_language_id": "doc_id held_out lang_pred score",
+    "op8_exact_topk": "query_id rank vec_id score",
+    "op9_toxicity": "doc_id held_out score predicted",
+    "op10_html_text": "page_id url text n_chars",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_queries_keep_their_contracts(spark, name):
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    assert list(got)[: len(CONTRACTS[name].split())] == CONTRACTS[name].split()
+    if "doc_id" in got:
+        docs = common.table(spark, SF, "documents").select("doc_id", "text").toPandas()
+        assert set(got.doc_id) == set(docs.doc_id) and (name == "op1_bestfit_packing" or len(got) == len(docs))
+        texts = dict(zip(docs.doc_id, docs.text, strict=True))
+    if name == "op1_bestfit_packing":
+        enc = packing.encoder(None)
+        for d, s in got.groupby("doc_id"):
+            ids = enc.ids(texts[d] or "") + packing.struct.pack("<I", packing.END)
+            for r in s.itertuples():
+                own = ids[4 * r.start : 4 * (r.start + r.length)]
+                assert len(own) == 4 * r.length and zlib.crc32(own) == r.ids_crc32
+            assert 4 * s.length.sum() == len(ids)
+        for _, s in got.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 1024
+    if name == "op3_pii":
+        for r in got.itertuples():
+            base = base_spans(texts[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r.spans.split(","))
+    if name == "op5_sharding":
+        sizes = got.groupby("shard")["size"].sum()
+        assert set(got.shard) <= set(range(16)) and all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
+        assert got.groupby("text_crc32").shard.nunique().max() == 1 and sizes.max() <= max(2 * sizes.sum() / 16, got.groupby("text_crc32")["size"].sum().max())
+
+
+@pytest.mark.parametrize("name", registry.ORACLE)
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want, got = con.sql(registry.ORACLE[name]).df(), registry.QUERIES[name](spark, SF).toPandas()
+    rows = lambda df: sorted(map(tuple, df[sorted(df)].astype(object).to_numpy().tolist()))
+    assert rows(got) == rows(want)
+
+
+def test_sharding_of_a_group_larger_than_a_shard(spark, none):
+    rows = [(i, "copy " * 50 if i % 2 else f"text {i} " * (i % 9), 0, 0, "x") for i in range(600)] + [(7, "copy " * 50, 0, 0, "x"), (None, None, 0, 0, "x")]
+    docs = common.durable(spark.createDataFrame(rows, "doc_id long, text string, cell int, slice int, shard string"), "test-shards")
+    got = sharding.shard(docs).toPandas()
+    assert len(got) == len(rows) and got[got["size"] == 251].shard.nunique() == 1
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
