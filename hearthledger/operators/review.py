@@ -56,7 +56,7 @@ def best_calculation(calcs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, annual: the figure of the method that speaks first; notes (audit, historical) don't."""
     order = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in METHOD_ORDER.items() for x in kv)), F.col("method")), F.lit(99))
     counted = calcs.filter(F.col("annual").isNotNull() & ~F.coalesce(F.col("details").rlike(r"^\[(audit|historical)\]"), F.lit(False)))
-    return counted.groupBy(*keys).agg(F.min_by("annual", F.struct(order, "ord")).alias("annual"))
+    return counted.groupBy(*keys).agg(F.min_by("annual", F.struct(order, "ord", "annual")).alias("annual"))
 
 
 def summary_mismatch(records: DataFrame, calcs: DataFrame, keys: list[str]) -> DataFrame:

@@ -158,7 +158,7 @@ _METHODS = "SELECT l_orderkey AS o_orderkey, l_linenumber AS ord, (['voi-based',
 
 
 @query(f"""
-WITH m AS ({_METHODS}), b AS (SELECT o_orderkey, arg_min(annual, (CASE method WHEN 'voi-based' THEN 0 WHEN 'history-based' THEN 0 WHEN 'self-declared' THEN 1 WHEN 'ytd-based' THEN 2 WHEN 'paystub-based' THEN 3 ELSE 99 END, ord * 1000000 + l_partkey)) AS annual FROM m WHERE details = 'z' GROUP BY 1)
+WITH m AS ({_METHODS}), b AS (SELECT o_orderkey, arg_min(annual, (CASE method WHEN 'voi-based' THEN 0 WHEN 'history-based' THEN 0 WHEN 'self-declared' THEN 1 WHEN 'ytd-based' THEN 2 WHEN 'paystub-based' THEN 3 ELSE 99 END, ord * 1000000 + l_partkey, annual)) AS annual FROM m WHERE details = 'z' GROUP BY 1)
 SELECT o_orderkey, o_totalprice AS declared, annual, CASE WHEN annual > o_totalprice THEN 'higher' ELSE 'lower' END AS direction FROM orders JOIN b USING (o_orderkey) WHERE o_totalprice > 0 AND o_orderstatus <> 'P' AND abs(annual - o_totalprice) / o_totalprice > 0.10
 """)
 def summary_mismatches(t: Tables) -> DataFrame:
