@@ -51,5 +51,5 @@ def query(oracle: str | None) -> Callable[[Callable[[Tables], DataFrame]], Query
     return register
 
 
-from hearthledger.plans import classify, income, inventory, linkage, manifest, normalise, packets, pages, people, reconciling, review, rules, scoring, state  # noqa: E402, F401
+from hearthledger.plans import classify, income, inventory, linkage, manifest, normalise, packets, pages, people, reconciling, review, rules, scenarios, scoring, state  # noqa: E402, F401
 from hearthledger.plans import case_rules  # noqa: E402, F401, I001  (reads the oracles of the others)
