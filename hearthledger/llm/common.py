@@ -68,7 +68,6 @@ def text_or_empty(c: str = "text") -> Column:
 
 def utf8(column: pa.Array, step: int = 256) -> Iterator[bytes]:
     """The texts of an Arrow column as UTF-8 bytes, null as empty, a few rows at a time."""
-    raw = column.cast(pa.large_string()).cast(pa.large_binary())
-    for i in range(0, len(raw), step):
-        for x in raw.slice(i, step).to_pylist():
+    for i in range(0, len(column), step):  # only a slice is copied
+        for x in column.slice(i, step).cast(pa.large_string()).cast(pa.large_binary()).to_pylist():
             yield b"" if x is None else x

@@ -56,14 +56,17 @@ class Encoder(dict):
     def __init__(self, path: str, ranks: str, pattern: str):
         super().__init__()
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.parts = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
     def ids(self, text: str) -> bytes:
+        if self.tokenizer is None:  # most texts never need it
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
@@ -82,7 +85,7 @@ class Encoder(dict):
                 return self.ids(text)
         if not first or first[-1].isspace() or _SPECIAL in text:
             return self.ids(text)
-        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+        return np.asarray(self.parts.encode_ordinary(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
