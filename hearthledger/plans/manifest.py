@@ -15,8 +15,8 @@ from hearthledger.sources.session import written
 def member_links(t: Tables) -> DataFrame:
     """Members (small parts) linked to held rows (large parts) of a brand by date (type) and name; greedy, so tests hold it to a plain loop."""
     person = lambda df, k: df.select(F.col("p_brand").alias("case"), F.col("p_partkey").alias(k), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("dob"))
-    claims = O.member_claims(person(t.part.filter("p_size <= 25"), "i"), person(t.part.filter("p_size > 25"), "j"))
-    return O.greedy(claims, "i", "j", ["tier", "score"], written).select("i", "j", "tier", nearest(F.col("score"), 4).alias("score"))
+    links = O.member_links(person(t.part.filter("p_size <= 25"), "i"), person(t.part.filter("p_size > 25"), "j"), written)
+    return links.select("i", "j", "tier", nearest(F.col("score"), 4).alias("score"))
 
 
 @query(None)

@@ -1,5 +1,7 @@
 """Operators on tables with many copies: whole results without a broadcast, a round or a comparison for each copy."""
 
+from pyspark.sql import functions as F
+
 from hearthledger.operators import linkage as L
 
 
@@ -12,3 +14,51 @@ def test_slip_pairs_never_broadcast_and_keep_copies(spark):
     found = L.slip_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t")
     assert sorted(tuple(r) for r in found.collect()) == [(0, 1), (0, 3), (1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (6, 7)]
     assert "Broadcast" not in plan(found)
+
+
+def loop(claims):
+    used, won = set(), set()
+    for c in sorted(claims, reverse=True):
+        if not set(c[-2:]) & used:
+            used |= set(c[-2:])
+            won.add(c)
+    return won
+
+
+def test_links_of_copies_by_a_plain_loop_over_all_claims(spark):
+    import random
+
+    from hearthledger.operators import manifest as O
+    from hearthledger.sources.session import written
+
+    rng = random.Random(8)
+    names = ["red bolt", "red bolts", "red rod", "Redd bolt", "blue rod", "blue", "", None, "blue rod gear", "small blue rod"]
+    row = lambda k: (rng.choice(["c", "d", None]), k, rng.choice(names), rng.choice(["x", "y", None]))
+    m = spark.createDataFrame([row(k) for k in range(70)], "case string, i long, name string, dob string")
+    h = spark.createDataFrame([row(k) for k in range(100, 160)], "case string, j long, name string, dob string")
+    claims = {(r.tier, r.score, r.i, r.j) for r in O.member_claims(m, h).collect()}
+    r, g = (df.select(F.col("case").alias("member"), F.col("dob").alias("type"), k, F.col("name").alias("source")) for df, k in ((m, "i"), (h, "j")))
+    g = g.unionByName(spark.createDataFrame([("e", "x", 200, "blue")], "member string, type string, j long, source string"))
+    r = r.unionByName(spark.createDataFrame([("e", "x", 201, "red"), ("e", "x", 202, None)], "member string, type string, i long, source string"))
+    records = {(x.score, x.i, x.j) for x in O.record_claims(r, g).collect()}
+    rounds = []
+
+    def durable(df):
+        rounds.append(1)
+        return written(df)
+
+    assert {(x.tier, x.score, x.i, x.j) for x in O.member_links(m, h, durable).collect()} == loop(claims)
+    assert {(x.score, x.i, x.j) for x in O.record_links(r, g, durable).collect()} == loop(records)
+    assert len(rounds) == 6  # whatever the number of copies
+
+
+def test_alike_loses_no_pair(spark):
+    from itertools import product
+
+    from hearthledger.functions import similarity as M
+
+    names = [f"{a} {b}" for a, b in product(["Ana", "Anabel", "anna", "Jo", "J.", "Josef", "Joseph"], ["Lopez", "Lopes", "Lopez Mora", "Li", "Mora"])] + ["Ana", "", " ", "x"]
+    df = spark.createDataFrame([("c", n) for n in names], "case string, n string")
+    for least in (0.6, 0.72):
+        every = df.crossJoin(df.select(F.col("n").alias("m"))).withColumn("s", M.name_similarity(F.col("n"), F.col("m"))).filter(F.col("s") >= least)
+        assert {(r.n, r.m, r.score) for r in L.alike(df, df.select("case", F.col("n").alias("m")), ["case"], "n", "m", least).collect()} == {(r.n, r.m, r.s) for r in every.collect()}
