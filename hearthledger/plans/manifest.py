@@ -23,8 +23,8 @@ def member_links(t: Tables) -> DataFrame:
 def record_links(t: Tables) -> DataFrame:
     """Records linked to held ones of the member and type, by source name where there are several; greedy, tested against a plain loop."""
     record = lambda df, k: df.select(F.col("p_brand").alias("member"), F.col("p_type").alias("type"), F.col("p_partkey").alias(k), F.col("p_name").alias("source"))
-    claims = O.record_claims(record(t.part.filter("p_size <= 25"), "i"), record(t.part.filter("p_size > 25"), "j"))
-    return O.greedy(claims, "i", "j", ["score"], written).select("i", "j", nearest(F.col("score"), 4).alias("score"))
+    links = O.record_links(record(t.part.filter("p_size <= 25"), "i"), record(t.part.filter("p_size > 25"), "j"), written)
+    return links.select("i", "j", nearest(F.col("score"), 4).alias("score"))
 
 
 @query("""
