@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hearthledger.functions import similarity as M
 from hearthledger.operators import linkage as L
 
 
@@ -55,10 +56,26 @@ def test_links_of_copies_by_a_plain_loop_over_all_claims(spark):
 def test_alike_loses_no_pair(spark):
     from itertools import product
 
-    from hearthledger.functions import similarity as M
-
     names = [f"{a} {b}" for a, b in product(["Ana", "Anabel", "anna", "Jo", "J.", "Josef", "Joseph"], ["Lopez", "Lopes", "Lopez Mora", "Li", "Mora"])] + ["Ana", "", " ", "x"]
     df = spark.createDataFrame([("c", n) for n in names], "case string, n string")
     for least in (0.6, 0.72):
         every = df.crossJoin(df.select(F.col("n").alias("m"))).withColumn("s", M.name_similarity(F.col("n"), F.col("m"))).filter(F.col("s") >= least)
         assert {(r.n, r.m, r.score) for r in L.alike(df, df.select("case", F.col("n").alias("m")), ["case"], "n", "m", least).collect()} == {(r.n, r.m, r.s) for r in every.collect()}
+
+
+def test_resolved_names_compare_a_name_once(spark, monkeypatch):
+    from hearthledger.operators import case_rules as C
+
+    asked = spark.createDataFrame([(c, k, n) for k, (c, n) in enumerate([("c", "Ana Lopes"), ("c", "ana lopez"), ("d", "Ana Lopez"), ("c", "Piet Quill"), ("c", None), (None, "Ana Lopez")] * 12)], "case string, ref long, name string")
+    roster = spark.createDataFrame([("c", 2, "Ana Lopez"), ("c", 1, "Anabel Lopez"), ("c", 0, "Bea Moran")], "case string, ord long, member string")
+    found = C.resolved_names(asked, roster)
+    want = ["Ana Lopez", "Ana Lopez", None, None, None, None]
+    assert [r.member for r in found.orderBy("ref").collect()] == want * 12
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        seen.add(1)
+        return 1.0
+
+    monkeypatch.setattr(M, "name_similarity", F.udf(counted, "double"))
+    assert C.resolved_names(asked, roster).filter("member is not null").count() and 0 < seen.value <= 36  # 9 pairs of names, 36 asked rows with a name
