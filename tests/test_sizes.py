@@ -128,3 +128,27 @@ def test_a_class_is_cut_into_parts(spark):
     rows = spark.range(10).select("id", (F.col("id") % 2).alias("k"))
     cut = L.classes(rows, ["k"], "id", "ids", 2)
     assert sorted((r.k, len(r.ids)) for r in cut.collect()) == [(0, 1), (0, 2), (0, 2), (1, 1), (1, 2), (1, 2)]
+
+
+def test_one_to_one_of_copies_by_a_plain_loop(spark):
+    import random
+
+    from hearthledger.sources.session import written
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        left, right = ([(rng.choice("ab"), k + i, rng.choice([None, float("nan"), *map(float, range(n // 4))])) for i in range(n)] for k, n in ((0, 60), (100, 40)))
+        used, want = set(), set()
+        for d, i, j in sorted((abs(x - y), i, j) for b, i, x in left for c, j, y in right if b == c and None not in (x, y) and x - y == x - y):
+            if not {i, j} & used:
+                used |= {i, j}
+                want.add((i, j, -d))
+        rounds = []
+
+        def durable(df, rounds=rounds):
+            rounds.append(1)
+            return written(df)
+
+        rows = lambda x, k: spark.createDataFrame(x, f"b string, {k} long, v double")
+        assert {tuple(r) for r in L.nearest_one_to_one(rows(left, "l"), rows(right, "r"), "b", "l", "r", "v", durable).collect()} == want
+        assert len(rounds) == 1
