@@ -76,9 +76,10 @@ def household_sources(rows: DataFrame, household: list[str]) -> DataFrame:
 
 def title_disagreements(groups: DataFrame, votes: DataFrame) -> DataFrame:
     """g_id, family, voted: groups whose printed words vote for another family than their label's. groups: g_id, family, text; votes: ord, pattern, voted."""
-    both = groups.join(F.broadcast(votes) if votes.count() <= 10_000 else votes, F.expr("lower(text) rlike pattern"))
-    first = both.groupBy("g_id", "family").agg(F.min(F.struct("ord", "voted"))["voted"].alias("voted"))
-    return first.filter("voted <> family").select("g_id", "family", "voted")
+    listed = votes.agg(F.array_sort(F.collect_list(F.struct("ord", "voted", "pattern"))).alias("_v"))
+    hit = F.filter("_v", lambda v: F.rlike(F.lower("text"), v["pattern"]))
+    first = groups.crossJoin(F.broadcast(listed)).select("g_id", "family", F.get(hit, F.lit(0))["voted"].alias("voted"))
+    return first.filter("voted <> family")
 
 
 def authority(category: Column) -> Column:

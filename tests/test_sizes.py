@@ -152,3 +152,12 @@ def test_one_to_one_of_copies_by_a_plain_loop(spark):
         rows = lambda x, k: spark.createDataFrame(x, f"b string, {k} long, v double")
         assert {tuple(r) for r in L.nearest_one_to_one(rows(left, "l"), rows(right, "r"), "b", "l", "r", "v", durable).collect()} == want
         assert len(rounds) == 1
+
+
+def test_votes_take_words_as_the_sql_does(spark, tmp_path):
+    from hearthledger.plans.registry import QUERIES
+
+    rows = [(1, "einéle Haus", "de"), (2, "nïle der", "fr"), (3, "é le", "fr"), (4, "table", "de"), (5, None, "de"), (6, "THE der", None), (7, "the", "de"), (7, "der", "de"), (8, "lé x", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["title_disagreements"](spark, str(tmp_path)).select("g_id", "family", "voted").collect())
+    assert got == [(1, "de", "fr"), (2, "fr", "de"), (7, "de", "en"), (8, "de", "fr")]
