@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, scratch, table, utf8
+from .common import durable, in_batches, scratch, table, utf8
 
 ROWS, BANDS, BITS = 5, 30, 2
 HASHES = ROWS * BANDS
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     names = ["doc_id", "th", "n_shingles", "seq", "sig", "bands"]
-    return _hashed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, seq binary, sig array<long>, bands array<long>")
+    return in_batches(_hashed(docs), run, "doc_id long, th long, n_shingles long, seq binary, sig array<long>, bands array<long>")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def block_links(met: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    return met.select("left", "right", "same").mapInArrow(run, "a long, b long")
+    return in_batches(met.select("left", "right", "same"), run, "a long, b long")
 
 
 def shingled(docs: DataFrame, alive: DataFrame, repeated: bool, width: int) -> DataFrame:
@@ -248,7 +248,7 @@ def shingled(docs: DataFrame, alive: DataFrame, repeated: bool, width: int) -> D
 
     few = F.broadcast(alive) if alive.count() <= BROADCAST_ROWS // 4 else alive
     found = _hashed(docs).join(few, ["doc_id", "th"]).select("v", "n", "sig", "text")
-    found = found.mapInArrow(run, "v long, n long, sig array<long>, hashes binary")
+    found = in_batches(found, run, "v long, n long, sig array<long>, hashes binary")
     return found.dropDuplicates(["v"]) if repeated else found
 
 

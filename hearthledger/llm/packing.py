@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table
+from .common import durable, from_columns, in_batches, table
 
 CAPACITY = 1024
 END = 2
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, k
                             c.append(x)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], schema.fieldNames())
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", F.col("text").cast("string")), run, schema)
 
 
 class Capacities:
@@ -207,10 +207,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut``, a written table of pieces, with sequence_id and offset."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    parts = spark.createDataFrame([(n, -(-c // SLICE_ROWS)) for n, c in histogram.items()], "length long, _parts long")
+    parts = from_columns(spark, [(n, -(-c // SLICE_ROWS)) for n, c in histogram.items()], "length", "_parts")
     sliced = cut.join(F.broadcast(parts), "length").withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts")))
     counts = durable(sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n")), "pack-slices")  # one row for SLICE_ROWS pieces
-    runs = spark.createDataFrame(plan(histogram, capacity), "_length long, _lo long, _hi long, _bin long, _each long, _offset long")
+    runs = from_columns(spark, plan(histogram, capacity), "_length", "_lo", "_hi", "_bin", "_each", "_offset")
     before = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("length", "_slice", before.alias("_before"))
     order = W.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")

@@ -689,3 +689,46 @@ def test_sharding_of_a_group_larger_than_a_shard(spark, none):
     got = sharding.shard(docs).toPandas()
     assert len(got) == len(rows) and got[got["size"] == 251].shard.nunique() == 1
     assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
+
+
+@pytest.fixture
+def batch_conf(spark):
+    was = {k: spark.conf.get(k) for k in common.BATCH}
+    yield {"rows": "spark.sql.execution.arrow.maxRecordsPerBatch", "bytes": "spark.sql.execution.arrow.maxBytesPerBatch"}
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("rows", "length"), [(2_000, 100), (300, 200_000)])
+def test_workers_get_small_batches_and_all_rows(spark, batch_conf, rows, length):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    spark.conf.set(batch_conf["rows"], "10000")
+    spark.conf.set(batch_conf["bytes"], "64m")
+    long = spark.range(0, rows, 1, 1).select("id", F.repeat(F.lit("x"), length).alias("text"))
+    got = common.in_batches(long, sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == rows
+    assert max(r.n for r in got) <= 512 and max(r.size for r in got) < 10 << 20
+
+
+def test_stages_bound_their_batches_and_keep_smaller_bounds(spark, docs, batch_conf):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for build in (lambda: quality.judge_documents(docs, labels), lambda: neardup.signatures(docs), lambda: packing.pieces(docs)):
+        spark.conf.set(batch_conf["rows"], "-1")
+        spark.conf.set(batch_conf["bytes"], "64m")
+        build()
+        assert [spark.conf.get(batch_conf[k]) for k in ("rows", "bytes")] == ["512", str(8 << 20)]
+    spark.conf.set(batch_conf["rows"], "100")
+    spark.conf.set(batch_conf["bytes"], "1m")
+    packing.pieces(docs)
+    assert [spark.conf.get(batch_conf[k]) for k in ("rows", "bytes")] == ["100", "1m"]
+
+
+def test_packing_plan_starts_no_python_rdd(spark, docs):
+    packed = packing.pack(common.durable(packing.pieces(docs), "test-pieces"))
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+    assert packed.count() == common.durable(packing.pieces(docs), "test-pieces").count()
